@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, quality_rules, source_mixing, token_store
+from . import best_fit_packing, media_columns, quality_rules, source_mixing, token_store
 
-MODULES = (quality_rules, source_mixing, best_fit_packing, token_store)
+MODULES = (quality_rules, source_mixing, best_fit_packing, media_columns, token_store)
 
 
 def queries() -> dict:
