@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordIds, crc_ids, default_vocabulary, documents, text_bytes, text_slices
+from .common import Scratch, crc_ids, default_vocabulary, documents, text_bytes, text_slices, word_ids
 
 END_ID = 1
 SEQUENCE = 4096
@@ -70,7 +70,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end
     end, step = end_id.to_bytes(4, "little"), 4 * sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(vocabulary)
+        encode = word_ids(vocabulary)
         for batch, texts in text_slices(batches):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, own in enumerate(encode(texts)):

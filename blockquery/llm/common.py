@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -133,7 +134,15 @@ def chain_hash(h: np.ndarray, n: int) -> np.ndarray:
 
 # --- token ids -----------------------------------------------------------------------------------
 
-_TAIL = re.compile(rb"[.,;:!?()]+$")
+# What the tokenizer's pre-tokenizer cuts, for texts of plain ASCII or Latin letters after lowering.
+_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+_LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[!-/:-@\\[-`{-~]+")
+_NOT_ASCII_PLAIN = re.compile(rb"[^\t-\r -~]|<\|")
+# U+0130 lowers to a letter and a combining mark
+_NOT_LATIN_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-įı-ž]|<\\|")
+#: Byte-level alphabets show the bytes that are no visible Latin-1 characters as U+0100 and up, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_VISIBLE))}
 
 
 def default_vocabulary() -> str:
@@ -142,72 +151,63 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids by key, found by `encode` once and kept; all are forgotten when there are `limit`."""
+
+    def __init__(self, encode, limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, key):
+        ids = self.encode(key)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordIds:
     """Token ids of whole texts, as little-endian uint32 bytes, by a tokenizer that never joins across ASCII white space.
 
-    Its pre-tokenizer drops white space, so a text's ids are its words' ids in order. Words are encoded by the library
-    once and cached (the cache is emptied when full). A word made of letters and closing punctuation is looked up by its
-    letters, for the pre-tokenizer always cuts there. Tests hold this against encoding whole texts.
+    Its pre-tokenizer drops white space, so a text's ids are its words' ids in order; the library encodes a word once. In
+    texts of plain ASCII or Latin letters the pre-tokenizer's own pieces (lowered runs of letters, digits, runs of marks,
+    English contractions) are found here and given to the library's model, which makes far fewer of them distinct. Tests
+    hold this against encoding whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.cores) > self.limit:
-            self.cores.clear()
-        cores, parts, need = self.cores, [], set()
-        for w in words:
-            split = self._split(w)
-            parts.append((w, split))
-            need.update(x for x in split if x not in cores)
-        order = list(need)
-        cores.update(zip(order, self._encode(order)))
-        for w, split in parts:
-            self.words[w] = b"".join([cores[x] for x in split])
-
-    @staticmethod
-    def _split(w: bytes) -> tuple[bytes, ...]:
-        ascii_word = w.isascii()
-        if ascii_word and w.isalpha():
-            return (w.lower(),)
-        if b"<|" not in w and (m := _TAIL.search(w)) and m.start():
-            core = w[: m.start()]
-            if ascii_word:
-                if core.isalpha():
-                    return core.lower(), m[0]
-            elif core.decode("utf-8", "replace")[-1:].isalpha():
-                return core, m[0]
-        return (w,)
+        self.tokenizer = Tokenizer.from_file(path)
+        model = self.tokenizer.model
+        whole = lambda w: self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+        self.words = _Known(whole, limit)
+        self.ascii = _Known(lambda p: [x.id for x in model.tokenize(p.decode("ascii"))], limit)
+        self.latin = _Known(lambda p: [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(_SHOWN))], limit)
+
+    def one(self, text: bytes) -> bytes:
+        if text.isascii():
+            if not _NOT_ASCII_PLAIN.search(text):
+                return b"".join(map(self.ascii.__getitem__, _ASCII_PIECES.findall(text.lower())))
+        elif not _NOT_LATIN_PLAIN.search(own := text.decode("utf-8", "replace")):
+            return b"".join(map(self.latin.__getitem__, _LATIN_PIECES.findall(own.lower())))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split, known, missing = [t.split() for t in texts], self.words, set()
-        for words in split:
-            missing.update(set(words).difference(known))
-        if missing:
-            self._learn(missing)
-            known = self.words
-            # after a clearing the words known before must be learned again
-            again = {w for words in split for w in words if w not in known}
-            if again:
-                self._learn_more(again)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def _learn_more(self, words: set[bytes]) -> None:
-        limit, self.limit = self.limit, 1 << 62
-        self._learn(words)
-        self.limit = limit
+        return list(map(self.one, texts))
+
+
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that its tasks share what it has learned."""
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
 
 
 def crc_ids(ids: bytes) -> int:
