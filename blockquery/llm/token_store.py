@@ -26,34 +26,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordIds, default_vocabulary, documents, mix, text_bytes, text_slices
+from .common import Scratch, default_vocabulary, documents, mix, text_bytes, text_slices, word_ids
 
 END_ID = 2
-WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 1024, 8
+WINDOW, LEAST, MOST, MASK_BITS = 16, 128, 2048, 9
 #: A range partition of recipes holds about so many documents.
 SHARD_DOCS = 50_000
 #: Digests that a task remembers to leave out chunks it has already written.
 SEEN = 200_000
 
 
-def cuts(ids: np.ndarray, gear: np.ndarray, least: int = LEAST, most: int = MOST, bits: int = MASK_BITS) -> list[int]:
-    """Ends of the chunks of ids; the last is len(ids)."""
-    n = len(ids)
-    if n <= least:
-        return [n]
+def marks(ids: np.ndarray, gear: np.ndarray, bits: int = MASK_BITS) -> np.ndarray:
+    """Places after which a chunk may end. Only the last WINDOW ids decide, so documents may be given one after the other."""
     g = gear[ids]
     h = g.copy()
     for k in range(1, WINDOW):
-        h[k:] += g[:-k] << np.uint64(k)
-    marks = np.flatnonzero((h >> np.uint64(64 - bits)) == 0) + 1
-    out, start, i = [], 0, 0
-    while n - start > least:
-        i += int(np.searchsorted(marks[i:], start + least))
-        end = min(int(marks[i]) if i < len(marks) else n, start + most, n)
-        out.append(end)
-        start = end
-    if start < n:
-        out.append(n)
+        h[k:] += g[:-k] << np.uint32(k)
+    return np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
+
+
+def cuts(n: int, own: list[int], least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of a document's chunks of n ids; the last is n. own: its marks. None below `least` counts, and `least` > WINDOW, so what stands before the document has no say."""
+    out, start = [], 0
+    for m in own:
+        if m - start < least:
+            continue
+        while m - start > most:
+            start += most
+            out.append(start)
+        if m - start >= least and m < n:
+            out.append(m)
+            start = m
+    while n - start > most:
+        start += most
+        out.append(start)
+    out.append(n)
     return out
 
 
@@ -105,16 +112,20 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = WordIds(vocabulary), set()
+        encode, seen = word_ids(vocabulary), set()
         wide = encode.tokenizer.get_vocab_size() > 1 << 16
-        gear = mix(np.arange(1, max(encode.tokenizer.get_vocab_size(), end_id + 1) + 1, dtype=np.uint64))
+        gear = (mix(np.arange(1, max(encode.tokenizer.get_vocab_size(), end_id + 1) + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
         for batch, texts in text_slices(batches):
-            rows, chunks = [], []
-            for own in encode(texts):
-                ids = np.frombuffer(own + end, "<u4")
-                stored, digests, lengths, a = ids if wide else ids.astype("<u2"), [], [], 0
-                for b in cuts(ids, gear):
-                    payload = stored[a:b].tobytes()
+            rows, chunks, encoded = [], [], [own + end for own in encode(texts)]
+            ids = np.frombuffer(b"".join(encoded), "<u4")
+            stored, found = (ids if wide else ids.astype("<u2")).tobytes(), marks(ids, gear)
+            ends = np.cumsum([len(own) // 4 for own in encoded])
+            split, first = np.searchsorted(found, ends, "right").tolist(), 0
+            found, width, begin = found.tolist(), 4 if wide else 2, 0
+            for stop, last in zip(ends.tolist(), split):
+                digests, lengths, a = [], [], 0
+                for b in cuts(stop - begin, [m - begin for m in found[first:last]]):
+                    payload = stored[width * (begin + a) : width * (begin + b)]
                     digest = hashlib.sha256(payload).digest()
                     digests.append(digest)
                     lengths.append(b - a)
@@ -124,7 +135,8 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                         seen.add(digest)
                         chunks.append((digest, b - a, payload))
                     a = b
-                rows.append((len(ids), merkle(digests), digests, lengths))
+                rows.append((stop - begin, merkle(digests), digests, lengths))
+                begin, first = stop, last
             n, m = len(rows), len(chunks)
             none = lambda k, t: pa.nulls(k, t)
             both = lambda have, t, first: pa.concat_arrays([pa.array(have, t), none(m, t)] if first else [none(n, t), pa.array(have, t)])
