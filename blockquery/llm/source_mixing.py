@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, text_bytes, text_slices
+from .common import Scratch, documents, fresh, text_bytes, text_slices
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -207,6 +207,23 @@ def mix_sources(docs: DataFrame, members: Column | None = None, weights: tuple[i
     return take_documents(sizes, route(patterns, target), patterns, whole, seed), dict(own), target
 
 
+def take_copies(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The mix itself: documents as often as it takes them (not at all, once or twice), with every column they have.
+
+    Whole documents only: the one at a border counts where more than half of it is wanted. Rows that repeat an id are taken
+    equally often.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    mixed, _, _ = mix_sources(docs, whole=True)
+    copies = mixed.where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("copies"))
+    key, many = fresh(docs, "__id"), fresh(docs, "__copies")
+    copies = scratch.write(copies.select(F.col("doc_id").alias(key), F.col("copies").alias(many)), "copies")
+    if copies.count() <= broadcast_rows:
+        copies = F.broadcast(copies)
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies[key]))
+    return joined.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, own, target = mix_sources(documents(spark, sf_dir))
     rows = [(json.dumps([s], ensure_ascii=False, separators=(",", ":")), n, float(target[s])) for s, n in own.items()]
