@@ -1 +1 @@
-
+"""Queries over large sorted collections of records."""

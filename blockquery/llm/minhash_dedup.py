@@ -10,7 +10,7 @@ Candidates. `BANDS` bands of `ROWS` coordinates: a pair of similarity 0.8 shares
 Links. Documents with the same set are one node, named by their smallest id. Candidate pairs are verified on full sets of
 64-bit shingle hashes. No group is expanded into its pairs: first each node is held against the smallest node it shares a
 band with; verified links are contracted to components; then, as long as a band's bucket holds nodes of several components,
-a few nodes outside its largest component (pivots) are held against all of the bucket that are not yet connected to them,
+some nodes outside its largest component (pivots) are held against all of the bucket that are not yet connected to them,
 and leave it. When no bucket holds two components, every pair that shares a band is either connected or has been refuted,
 so no link is lost, and a group of m copies costs about m verifications. Components come from contraction with pointer
 jumping. Everything stays distributed; nothing about documents reaches the driver but counts.
@@ -36,6 +36,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 BANDS, ROWS = 30, 5
 #: Ids are broadcast to the documents up to so many (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Pivots of a bucket in the first round of elimination; four times as many in each further one.
+SLOTS = 32
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -209,10 +211,10 @@ def _link_members(docs: DataFrame, members: DataFrame, scratch: Scratch, words:
         rest = scratch.write(labelled.join(mixed, "key").select("key", "node", "n", "component", "main"), f"rest-{turn}")
         if rest.isEmpty():
             return component
-        outside, h = rest.where("component != main"), F.xxhash64("node")
-        chosen = outside.groupBy("key").agg(F.min("node").alias("p1"), F.max("node").alias("p2"), F.min_by("node", h).alias("p3"), F.max_by("node", h).alias("p4"))
-        pivots = chosen.select("key", F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4"))).alias("node"))
-        pivots = scratch.write(pivots.join(outside.select("key", "node", "n", "component"), ["key", "node"]), f"pivots-{turn}")
+        # a pivot of each slot that nodes outside the main component are hashed into; ever more slots, so that rounds stay few
+        outside, slots = rest.where("component != main"), SLOTS << 2 * (turn - 2)
+        chosen = outside.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("node", "n", "component")).alias("p"))
+        pivots = scratch.write(chosen.select("key", "p.node", "p.n", "p.component"), f"pivots-{turn}")
         against = pivots.select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("component").alias("p_component"))
         pairs = rest.join(against, "key").where("component != p_component")
         # sets whose sizes differ too much cannot be similar
@@ -222,7 +224,7 @@ def _link_members(docs: DataFrame, members: DataFrame, scratch: Scratch, words:
         joined = now.where("ok").join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
         labels = components(joined.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), scratch, f"round-{turn}")
         component = scratch.write(_relabelled(component, labels), f"component-{turn}")
-        tested = tested.unionByName(now)
+        tested = docs.sparkSession.read.schema(tested.schema).parquet(*(scratch.path(f"tested-{i}") for i in range(1, turn + 1)))
         rest = rest.select("key", "node", "n").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
 
 
