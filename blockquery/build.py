@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .errors import EngineError
 from .operators import indexes
@@ -66,7 +67,7 @@ def build(records: DataFrame, schema: CollectionSchema, path: str, block_bytes:
     fs.delete(p, True)
     codec = COMPRESSIONS[compression]
     cut_blocks(derived, schema, block_bytes).write.option("compression", codec).partitionBy(BLOCK).parquet(f"{staged}/blocks")
-    stored = spark.read.schema(derived.schema.add(BLOCK, "int")).parquet(f"{staged}/blocks")
+    stored = spark.read.schema(T.StructType([*derived.schema, T.StructField(BLOCK, T.IntegerType())])).parquet(f"{staged}/blocks")
     block_table(stored, schema).coalesce(1).write.parquet(f"{staged}/meta/blocks")
     made = []
     for table, make in zip(TABLES, (indexes.zonemap, indexes.postings, indexes.reversed_postings, indexes.trigram_postings, indexes.empty_blocks)):

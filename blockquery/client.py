@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from .build import read_text
 from .errors import EngineError
 from .operators.blocks import BLOCK, INTERNAL, stored_order
+from .plans.find import OrderBy, order_columns, order_keys, page
 from .plans.planner import Metadata, candidates, narrowed
 from .plans.where import KEYS, assert_prunes, check, compact, predicate
 from .schema import FORMAT_VERSION, CollectionSchema
@@ -25,9 +26,6 @@ MAX_RESULTS = 10_000
 #: Blocks of the first step of a walk; each further step reads twice as many.
 WALK = 4
 
-OrderBy = dict[str, str] | list[dict[str, str]] | None
-
-
 @dataclass
 class Found:
     """records, whether more follow the page, and how many match in all where that is known without another read."""
@@ -43,30 +41,6 @@ class Count:
     exact: bool
 
 
-def order_keys(order_by: OrderBy) -> list[tuple[str, str]]:
-    given = [] if order_by is None else order_by if isinstance(order_by, list) else [order_by]
-    keys = [(n, d) for one in given for n, d in one.items()]
-    for n, d in keys:
-        if d not in ("asc", "desc"):
-            raise ValueError(f"{n}: the order is asc or desc")
-    return keys
-
-
-def order_columns(df: DataFrame, schema: CollectionSchema, keys: list[tuple[str, str]]) -> list[Column]:
-    """Missing values are lowest; lists compare as their joined text; the stored order breaks ties."""
-    out = []
-    for name, direction in keys:
-        f = schema.fields.get(name)
-        if f is None or f.kind == "json":
-            raise ValueError(f"{name!r} cannot be ordered by")
-        c = F.array_join(F.col(f"`{name}`"), ",") if f.multi else F.col(f"`{name}`")
-        out.append(c.asc_nulls_first() if direction == "asc" else c.desc_nulls_last())
-    named = {n for n, _ in keys}
-    if schema.pk is not None and schema.pk not in named:
-        out.append(F.col(f"`{schema.pk}`").asc_nulls_last())
-    return out
-
-
 def merge_by_pk(frames: list[DataFrame], pk: str) -> DataFrame:
     """The union of several queries' records, each once: what there is in place of OR."""
     return reduce(DataFrame.unionByName, frames).dropDuplicates([pk])
@@ -89,7 +63,7 @@ class Collection:
         tables = set(manifest["tables"])
         table = lambda name: self.spark.read.parquet(f"{self.path}/meta/{name}") if name in tables else None
         with self._errors():
-            self.metadata = Metadata(self.spark.read.parquet(f"{self.path}/meta/blocks"), table("zonemap"), table("postings"), table("reversed"), table("trigrams"), table("empty_blocks"))
+            self.metadata = Metadata(self.spark.read.parquet(f"{self.path}/meta/blocks"), table("zonemap"), table("postings"), table("reversed"), table("trigrams"), table("empty_blocks"), {f.name: f.dataType.simpleString() for f in self._columns})
 
     @contextmanager
     def _errors(self) -> Iterator[None]:
@@ -137,11 +111,7 @@ class Collection:
         """The records as a DataFrame, which nothing has read yet: no ceiling, for what comes next may narrow further."""
         own = self._checked(where)
         assert_prunes(own, self.schema)
-        df, _ = self._match(own)
-        keys = order_keys(order_by)
-        df = df.orderBy(*(order_columns(df, self.schema, keys) if keys else stored_order(df, self.schema)))
-        df = df.offset(offset) if offset else df
-        df = df.limit(limit) if limit is not None else df
+        df = page(self._match(own)[0], self.schema, order_by, limit, offset)
         return df.select(*columns) if columns else df.drop(*INTERNAL)
 
     # --- the four methods ------------------------------------------------------------------------
@@ -189,7 +159,7 @@ class Collection:
     def _find(self, where: dict, keys: list[tuple[str, str]], limit: int | None, offset: int) -> Found:
         df, blocks = self._match(where)
         direction = self._walk(limit, keys)
-        columns = order_columns(df, self.schema, keys) if keys else stored_order(df, self.schema)
+        columns = order_columns(df, self.schema, keys)
         if direction is not None and self.manifest["blocks"] > WALK:
             if blocks is None:
                 narrow = candidates(where, self.schema, self.metadata)

@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError
 
@@ -47,12 +48,15 @@ def _fold(s: str) -> str:
     return unicodedata.normalize("NFC", bare).lower()
 
 
-@F.pandas_udf("string")
-def _fold_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fold_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(_fold, na_action="ignore")
 
 
+def _fold_udf(c: Column) -> Column:
+    return F.pandas_udf(_fold_series, T.StringType())(c)
+
+
 def fold(c: Column) -> Column:
     """Without accents and in lower case. Plain ASCII, by far the most, never leaves the JVM's functions for its result."""
     return F.when(c.rlike(r"^\p{ASCII}*$"), F.lower(c)).otherwise(_fold_udf(c))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.where import KEYS
@@ -47,6 +47,27 @@ def cut_blocks(df: DataFrame, schema: CollectionSchema, block_bytes: int) -> Dat
     return ranged.sortWithinPartitions(BLOCK, *order, line)
 
 
+def exact_cut(df: DataFrame, by: str, weight: Column, target: int, path: str) -> DataFrame:
+    """df with `_block` = (weight of all smaller values of `by`) div target: equal values share a block, whatever the partitioning.
+
+    Range partitions are written to `path` with their number, so that the sums before each (a row for each partition) and
+    the running sums inside them speak of the same rows, also when a task runs again. No window spans the whole data.
+    """
+    spark, key = df.sparkSession, F.col(f"`{by}`")
+    ranged = df.withColumn("_weight", weight.cast("long")).repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(path)
+    parts = spark.read.schema(ranged.schema).parquet(path)
+    rows, base, offsets = parts.groupBy("_part").agg(F.sum("_weight").alias("w"), F.min(key).alias("_key")).orderBy("_part").collect(), 0, []
+    for r in rows:
+        offsets.append((r["_part"], base))
+        base += r["w"]
+    upto, run = Window.partitionBy("_part").orderBy(key), Window.partitionBy("_part", key)
+    before = F.sum("_weight").over(upto) - F.sum("_weight").over(run)
+    # a row for each range partition
+    joined = parts.withColumn("_before", before).join(F.broadcast(spark.createDataFrame(offsets, "_part int, _base bigint")), "_part")
+    return joined.withColumn(BLOCK, ((F.col("_base") + F.col("_before")) / target).cast("int")).drop("_weight", "_part", "_base", "_before")
+
+
 def greedy_cut(records: Iterable[tuple[object, int]], target: int) -> list[int]:
     """Block numbers of sorted (key, bytes) by closing a block once it would pass the target at a new key: exact, for small data and tests."""
     out, block, size, last = [], 0, 0, object()

@@ -118,6 +118,28 @@ def column_stats(df: DataFrame) -> dict[str, Stats]:
     return out
 
 
+def exact_cardinality(df: DataFrame, fields: list[str]) -> DataFrame:
+    """field, distinct: exact counts. Rows become (field, value) pairs that are made distinct before they are counted."""
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"`{n}`").cast("string").alias("value")) for n in fields))).alias("p")).select("p.field", "p.value")
+    return pairs.where("value IS NOT NULL").distinct().groupBy("field").agg(F.count("*").alias("distinct"))
+
+
+def small_sets(df: DataFrame, fields: list[str], most: int = MOST_VALUES) -> DataFrame:
+    """field, values: the sorted values, joined by commas, of string fields that have at most `most`."""
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"`{n}`").alias("value")) for n in fields))).alias("p")).select("p.field", "p.value")
+    distinct = pairs.where("value IS NOT NULL").distinct()
+    # one value more than may be listed is kept of each field, so no list grows with the data
+    rank = F.row_number().over(Window.partitionBy("field").orderBy("value"))
+    few = distinct.withColumn("i", rank).where(F.col("i") <= most + 1).groupBy("field").agg(F.sort_array(F.collect_list("value")).alias("list"))
+    return few.where(F.size("list") <= most).select("field", F.array_join("list", ",").alias("values"))
+
+
+def shape_shares(df: DataFrame, name: str) -> DataFrame:
+    """One row: values, and how many look like a URL or a UUID."""
+    c = F.col(f"`{name}`")
+    return df.agg(F.count(c).alias("n"), F.sum(c.rlike(URL).cast("long")).alias("urls"), F.sum(c.rlike(UUID).cast("long")).alias("uuids"))
+
+
 # --- advice --------------------------------------------------------------------------------------
 
 

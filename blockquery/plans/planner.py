@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
@@ -28,6 +29,8 @@ class Metadata:
     reversed: DataFrame | None = None
     trigrams: DataFrame | None = None
     empty: DataFrame | None = None
+    #: Spark types of the records' columns: bounds of native dates and times are kept as the strings that a cast gives.
+    kinds: dict[str, str] = field(default_factory=dict)
 
 
 def successor(prefix: str) -> str | None:
@@ -77,7 +80,9 @@ def _indexed(meta: Metadata, f: Field, filters: dict[str, Any], pruning: tuple[s
         if f.kind in ("number", "date"):
             z = _of(meta.zonemap, name)
             lo, hi = ("min_n", "max_n") if f.kind == "number" else ("min_s", "max_s")
-            v = [_plain(x) for x in v] if op == "in" else _plain(v)
+            if f.kind == "date":
+                as_text = _as_text(meta.kinds.get(name, "string"))
+                v = [as_text(x) for x in v] if op == "in" else as_text(v)
             out.append(z.where(_overlap(F.col(lo), F.col(hi), op, v)).select(BLOCK))
             continue
         table, value = _of(meta.postings, name), F.col("value")
@@ -95,11 +100,11 @@ def _indexed(meta: Metadata, f: Field, filters: dict[str, Any], pruning: tuple[s
     return out
 
 
-def _plain(v: Any) -> Any:
-    """Dates and times as the strings that a cast of their column gives."""
-    if isinstance(v, dt.datetime):
-        return v.strftime("%Y-%m-%d %H:%M:%S") + (f".{v.microsecond:06d}".rstrip("0") if v.microsecond else "")
-    return v.isoformat() if isinstance(v, dt.date) else v
+def _as_text(kind: str) -> Callable[[Any], Column]:
+    """A value as the string that its column has in the zonemap: ISO strings stay, native dates and times are cast like their column."""
+    if kind == "string":
+        return lambda v: F.lit(v.isoformat() if isinstance(v, dt.date) else v)
+    return lambda v: F.lit(v).cast(kind).cast("string")
 
 
 def _list(meta: Metadata, f: Field, filters: dict[str, Any], pruning: tuple[str, ...]) -> list[DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -49,7 +51,7 @@ def compact(where: dict[str, Any] | None) -> dict[str, dict[str, Any]]:
 
 
 def _check_value(name: str, f: Field, op: str, v: Any) -> None:
-    single = {"string": str, "date": str, "number": (int, float), "boolean": bool}.get("string" if f.multi else f.kind, object)
+    single = {"string": str, "date": (str, dt.date), "number": (int, float), "boolean": bool}.get("string" if f.multi else f.kind, object)
     right = lambda x: isinstance(x, single) and (single is bool or not isinstance(x, bool))
     if op in ("in", "hasEvery"):
         if isinstance(v, (str, dict)) or not all(right(x) for x in v):
@@ -156,6 +158,11 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
+def _element(v: Any) -> Callable[[Column], Column]:
+    """All operators of an element filter, on one element."""
+    return lambda x: _all([_value(x, op, y) for op, y in elements(v).items()])
+
+
 def field_predicate(name: str, filters: dict[str, Any], has_keys: bool = False) -> Column:
     """has_keys: whether records say which keys they have; without, a null counts as null and no key is absent."""
     c, parts = F.col(f"`{name}`"), []
@@ -168,9 +175,9 @@ def field_predicate(name: str, filters: dict[str, Any], has_keys: bool = False)
         elif op == "exists":
             parts.append(c.isNotNull() if v else c.isNull())
         elif op == "some":
-            parts.append(F.exists(c, lambda x, v=v: _all([_value(x, k, y) for k, y in elements(v).items()])))
+            parts.append(F.exists(c, _element(v)))
         elif op == "every":
-            parts.append(c.isNotNull() & F.forall(c, lambda x, v=v: _all([_value(x, k, y) for k, y in elements(v).items()])))
+            parts.append(c.isNotNull() & F.forall(c, _element(v)))
         elif op == "hasEvery":
             parts.append(c.isNotNull() & _all([F.array_contains(c, x) for x in v]))
         elif op == "isEmpty":
