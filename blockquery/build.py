@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -62,12 +63,13 @@ def build(records: DataFrame, schema: CollectionSchema, path: str, block_bytes:
     if checked:
         check_drift(records, schema)
     derived = derive(records.drop("_bad"), schema)
-    staged = path.rstrip("/") + "__staged"
+    # named anew by each build, so that who has an old manifest finds files gone and never takes new blocks for old ones
+    staged, blocks = path.rstrip("/") + "__staged", f"blocks-{uuid.uuid4().hex[:12]}"
     fs, p = _fs(spark, staged)
     fs.delete(p, True)
     codec = COMPRESSIONS[compression]
-    cut_blocks(derived, schema, block_bytes).write.option("compression", codec).partitionBy(BLOCK).parquet(f"{staged}/blocks")
-    stored = spark.read.schema(T.StructType([*derived.schema, T.StructField(BLOCK, T.IntegerType())])).parquet(f"{staged}/blocks")
+    cut_blocks(derived, schema, block_bytes).write.option("compression", codec).partitionBy(BLOCK).parquet(f"{staged}/{blocks}")
+    stored = spark.read.schema(T.StructType([*derived.schema, T.StructField(BLOCK, T.IntegerType())])).parquet(f"{staged}/{blocks}")
     block_table(stored, schema).coalesce(1).write.parquet(f"{staged}/meta/blocks")
     made = []
     for table, make in zip(TABLES, (indexes.zonemap, indexes.postings, indexes.reversed_postings, indexes.trigram_postings, indexes.empty_blocks)):
@@ -78,7 +80,7 @@ def build(records: DataFrame, schema: CollectionSchema, path: str, block_bytes:
             df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", codec).parquet(f"{staged}/meta/{table}")
             made.append(table)
     totals = spark.read.parquet(f"{staged}/meta/blocks").selectExpr("coalesce(sum(count), 0) AS records", "count(*) AS blocks", "coalesce(sum(bytes), 0) AS bytes").first()
-    manifest = {"format_version": FORMAT_VERSION, "dataset": name, "records": totals["records"], "blocks": totals["blocks"], "bytes": totals["bytes"], "tables": made, "schema": schema.to_json(), "columns": json.loads(stored.schema.json())}
+    manifest = {"format_version": FORMAT_VERSION, "dataset": name, "records": totals["records"], "blocks": totals["blocks"], "bytes": totals["bytes"], "tables": made, "data": blocks, "schema": schema.to_json(), "columns": json.loads(stored.schema.json())}
     write_text(spark, f"{staged}/manifest.json", json.dumps(manifest))
     swap(spark, staged, path)
     return manifest

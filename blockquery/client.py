@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,10 @@ from pyspark.sql import types as T
 
 from .build import read_text
 from .errors import EngineError
-from .operators.blocks import BLOCK, INTERNAL, stored_order
+from .operators.blocks import BLOCK, HIDDEN, INTERNAL
 from .plans.find import OrderBy, order_columns, order_keys, page
-from .plans.planner import Metadata, candidates, narrowed
-from .plans.where import KEYS, assert_prunes, check, compact, predicate
+from .plans.planner import Metadata, candidates, named
+from .plans.where import KEYS, REST, assert_prunes, check, compact, predicate
 from .schema import FORMAT_VERSION, CollectionSchema
 
 MAX_RESULTS = 10_000
@@ -69,7 +71,7 @@ class Collection:
     def _errors(self) -> Iterator[None]:
         try:
             yield
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             text = str(e)
             if "cancelled" in text.lower() or "canceled" in text.lower():
                 raise EngineError("ABORTED", "the query was cancelled") from None
@@ -94,8 +96,19 @@ class Collection:
 
     # --- plans -----------------------------------------------------------------------------------
 
-    def stored(self) -> DataFrame:
-        return self.spark.read.schema(self._columns).parquet(f"{self.path}/blocks")
+    def stored(self, blocks: list[int] | None = None) -> DataFrame:
+        """The records of all or of some blocks. Of some, only their own folders are listed, and each must have a file."""
+        root = f"{self.path}/{self.manifest['data']}"
+        reader = self.spark.read.schema(self._columns).option("basePath", root)
+        if blocks is None:
+            return reader.parquet(root)
+        if not blocks:
+            return self.spark.createDataFrame([], self._columns)
+        df = reader.parquet(*(f"{root}/{BLOCK}={b}" for b in blocks))
+        there = {int(m[1]) for m in (re.search(rf"/{BLOCK}=(\d+)/", f) for f in df.inputFiles()) if m}
+        if there != set(blocks):
+            raise EngineError("DEPLOY_INTEGRITY", f"{len(set(blocks) - there)} blocks have no file")
+        return df
 
     def _checked(self, where: dict[str, Any] | None) -> dict[str, dict[str, Any]]:
         own = compact(where)
@@ -103,9 +116,14 @@ class Collection:
         return own
 
     def _match(self, where: dict[str, dict[str, Any]]) -> tuple[DataFrame, list[int] | None]:
-        stored = self.stored()
-        records, blocks = narrowed(stored, candidates(where, self.schema, self.metadata))
-        return records.where(predicate(where, KEYS in stored.columns)), blocks
+        found, blocks = candidates(where, self.schema, self.metadata), None
+        if found is not None:
+            blocks = named(found)
+        records = self.stored(blocks)
+        if found is not None and blocks is None:
+            # block numbers: a few bytes for each block of the collection
+            records = records.join(F.broadcast(found.distinct()), BLOCK, "left_semi")
+        return records.where(predicate(where, KEYS in records.columns)), blocks
 
     def query(self, where: dict[str, Any] | None = None, order_by: OrderBy = None, limit: int | None = None, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
         """The records as a DataFrame, which nothing has read yet: no ceiling, for what comes next may narrow further."""
@@ -186,12 +204,13 @@ class Collection:
         return Found(self._plain(rows[offset : offset + limit]), more, None if more or left else len(rows))
 
     def _plain(self, rows: list[Row]) -> list[dict[str, Any]]:
-        """Records as dictionaries; a key that was absent stays so."""
+        """Records as dictionaries; a key that was absent stays so, and one that the schema does not declare is there again."""
         out = []
         for r in rows:
             d = r.asDict(recursive=True)
             keys = set(d[KEYS]) if KEYS in d else None
-            out.append({k: v for k, v in d.items() if k not in INTERNAL and (keys is None or v is not None or k in keys)})
+            own = {k: v for k, v in d.items() if k not in HIDDEN and (keys is None or v is not None or k in keys)}
+            out.append(own | json.loads(d[REST]) if d.get(REST) else own)
         return out
 
     def count(self, where: dict[str, Any] | None = None, exact: bool = False) -> Count:
@@ -217,7 +236,7 @@ class Collection:
 
         def first() -> list[dict[str, Any]]:
             df, _ = self._match(found)
-            return self._plain(df.orderBy(BLOCK, *stored_order(df, self.schema)).limit(1).collect())
+            return self._plain(df.orderBy(BLOCK, *order_columns(df, self.schema, [])).limit(1).collect())
 
         return next(iter(self._fresh(first)), None)
 

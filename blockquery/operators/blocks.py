@@ -7,12 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.where import KEYS
+from ..plans.where import KEYS, REST
 from ..schema import CollectionSchema
 
 BLOCK = "_block"
-#: Names that the engine adds to records.
+#: Names that the engine adds to records; REST is part of a record all the same.
 INTERNAL = (BLOCK, KEYS, "_bad", "_line")
+HIDDEN = (*INTERNAL, REST)
 
 
 def record_bytes(df: DataFrame) -> Column:

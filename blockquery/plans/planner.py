@@ -15,7 +15,7 @@ from ..operators.blocks import BLOCK
 from ..schema import CollectionSchema, Field
 from .where import elements, operator_prunes
 
-#: Up to so many blocks stand in the plan as literals; more are a broadcast semi-join that Spark prunes partitions with.
+#: Up to so many blocks are read by their own paths; more are a broadcast semi-join that Spark prunes partitions with.
 LITERAL_BLOCKS = 1000
 
 
@@ -146,12 +146,7 @@ def candidates(where: dict[str, dict[str, Any]], schema: CollectionSchema, meta:
     return reduce(lambda a, b: a.join(b, BLOCK, "left_semi"), sets) if sets else None
 
 
-def narrowed(records: DataFrame, found: DataFrame | None) -> tuple[DataFrame, list[int] | None]:
-    """Records of the candidate blocks; the blocks where these are few enough to name."""
-    if found is None:
-        return records, None
-    rows = sorted(r[0] for r in found.distinct().limit(LITERAL_BLOCKS + 1).collect())
-    if len(rows) <= LITERAL_BLOCKS:
-        return records.where(F.col(BLOCK).isin(*rows) if rows else F.lit(False)), rows
-    # block numbers: a few bytes for each block of the collection
-    return records.join(F.broadcast(found.distinct()), BLOCK, "left_semi"), None
+def named(found: DataFrame) -> list[int] | None:
+    """The candidate blocks, in order; None where they are more than LITERAL_BLOCKS."""
+    rows = found.distinct().limit(LITERAL_BLOCKS + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= LITERAL_BLOCKS else None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..schema import LIST_OPERATORS, CollectionSchema, Field, element_operators
 
-KEYS = "_keys"
+KEYS, REST = "_keys", "_rest"
 
 
 class _Unset:
@@ -191,4 +191,4 @@ def predicate(where: dict[str, dict[str, Any]], has_keys: bool = False) -> Colum
     return _all([field_predicate(name, filters, has_keys) for name, filters in where.items()])
 
 
-__all__ = ["KEYS", "LIST_OPERATORS", "UNSET", "assert_prunes", "check", "compact", "elements", "field_predicate", "operator_prunes", "predicate", "where_prunes"]
+__all__ = ["KEYS", "REST", "LIST_OPERATORS", "UNSET", "assert_prunes", "check", "compact", "elements", "field_predicate", "operator_prunes", "predicate", "where_prunes"]

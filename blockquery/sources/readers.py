@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
-from ..plans.where import KEYS
+from ..plans.where import KEYS, REST
 from ..schema import CollectionSchema, Field
 
 
@@ -66,7 +66,13 @@ def from_lines(lines: DataFrame, schema: CollectionSchema, keep_line: bool = Fal
     columns = [_extract(f, F.col("_v")).alias(f.name) for f in own]
     keys = F.json_object_keys("value").alias(KEYS)
     bad = F.filter(F.array(*(F.when(_is_bad(f, F.col("_v")), F.lit(f.name)) for f in own)), lambda x: x.isNotNull()).alias("_bad")
-    return parsed.select(*columns, keys, bad, *([F.col("value").alias("_line")] if keep_line else []))
+    return parsed.select(*columns, _rest_of_json(schema), keys, bad, *([F.col("value").alias("_line")] if keep_line else []))
+
+
+def _rest_of_json(schema: CollectionSchema) -> Column:
+    """Keys that the schema does not declare, carried as one JSON object; null where there are none."""
+    rest = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, v: ~k.isin(*schema.fields))
+    return F.when(F.size(rest) > 0, F.to_json(rest)).alias(REST)
 
 
 def _is_bad(f: Field, v: Column) -> Column:
@@ -98,7 +104,9 @@ def read_csv(spark: SparkSession, pattern: str, schema: CollectionSchema, delimi
         columns.append((F.split(cell, ";") if f.multi else value).alias(f.name))
         bad.append(F.when(cell.isNotNull(), F.lit(f.name)))
     keys = F.filter(F.array(*bad), lambda x: x.isNotNull()).alias(KEYS)
-    return raw.select(*columns, keys, F.array().cast("array<string>").alias("_bad"))
+    more = [c for c in raw.columns if c not in schema.fields]
+    rest = F.nullif(F.to_json(F.struct(*(F.col(f"`{c}`") for c in more))), F.lit("{}")) if more else F.lit(None).cast("string")
+    return raw.select(*columns, rest.alias(REST), keys, F.array().cast("array<string>").alias("_bad"))
 
 
 def read_records(spark: SparkSession, pattern: str, form: str, schema: CollectionSchema, records: str | None = None, delimiter: str | None = None) -> DataFrame:
