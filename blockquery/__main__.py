@@ -1,4 +1,4 @@
-"""Command line: init (write a configuration from data), build, inspect."""
+"""Command line: init (write a configuration from data), build, inspect (a collection, or what a configuration would build), codegen."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from .build import build_from_config
 from .client import connect
 from .errors import EngineError
 from .operators import infer
-from .operators.lints import low_cardinality_sort, skewed_blocks
+from .codegen import record_module
+from .operators.lints import collection_warnings
+from .plans.cost import estimate
 from .schema import resolve
-from .sources.readers import json_lines, ndjson_lines
+from .sources.readers import json_lines, ndjson_lines, read_records
 
 
 def config_of(schema, **rest) -> dict:
@@ -48,9 +50,7 @@ def inspect(spark: SparkSession, path: str) -> dict:
     c = connect(spark, path)
     blocks = c.metadata.blocks
     row = blocks.selectExpr("min(count)", "max(count)", "min(bytes)", "max(bytes)", "coalesce(sum(n_null), 0)", "coalesce(sum(n_absent), 0)").first()
-    report = {"records": c.manifest["records"], "blocks": c.manifest["blocks"], "bytes": c.manifest["bytes"], "records_per_block": [row[0], row[1]], "bytes_per_block": [row[2], row[3]], "missing": {"null": row[4], "absent": row[5]}, "schema": c.get_schema(), "skewed_blocks": skewed_blocks(blocks).count()}
-    distinct = c.stored().selectExpr(f"approx_count_distinct(`{c.schema.sort_field}`)").first()[0]
-    report["warnings"] = [w for w in [low_cardinality_sort(c.manifest["records"], distinct, c.schema.sort_field)] if w]
+    report = {"records": c.manifest["records"], "blocks": c.manifest["blocks"], "bytes": c.manifest["bytes"], "records_per_block": [row[0], row[1]], "bytes_per_block": [row[2], row[3]], "missing": {"null": row[4], "absent": row[5]}, "schema": c.get_schema(), "warnings": collection_warnings(c)}
     return report
 
 
@@ -66,7 +66,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--index", action="append")
     p.add_argument("--reinfer", action="store_true")
     commands.add_parser("build").add_argument("config")
-    commands.add_parser("inspect").add_argument("path")
+    p = commands.add_parser("inspect")
+    p.add_argument("path", nargs="?")
+    p.add_argument("--config")
+    p = commands.add_parser("codegen")
+    p.add_argument("config")
+    p.add_argument("--output", required=True)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     try:
@@ -83,8 +88,16 @@ def main(argv: list[str] | None = None) -> int:
             Path(args.config).write_text(json.dumps(data, indent=2) + "\n")
         elif args.command == "build":
             print(json.dumps({k: v for k, v in build_from_config(spark, resolve(json.loads(Path(args.config).read_text()))).items() if k in ("records", "blocks", "bytes")}))
-        else:
+        elif args.command == "codegen":
+            config = resolve(json.loads(Path(args.config).read_text()))
+            Path(args.output).write_text(record_module(config.schema, config.name, config.output))
+        elif args.config:
+            config = resolve(json.loads(Path(args.config).read_text()))
+            print(json.dumps(estimate(read_records(spark, config.input, config.format, config.schema, config.records, config.delimiter), config.schema, config.block_bytes), indent=2))
+        elif args.path:
             print(json.dumps(inspect(spark, args.path), indent=2))
+        else:
+            parser.error("inspect needs a path or --config")
     except EngineError as e:
         print(e, file=sys.stderr)
         return 1

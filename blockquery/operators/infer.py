@@ -186,6 +186,21 @@ def block_share(df: DataFrame, sort_field: str, fields: list[str], bins: int, sa
     return out
 
 
+def scatter(df: DataFrame, sort_field: str, fields: list[str], bins: int, sample_rows: int = 2000) -> float:
+    """In how many of `bins` equal parts of the sort field's order a value of the fields lies, on average over records: what a filter on them would read."""
+    shares = block_share(df, sort_field, fields, bins, sample_rows)
+    return bins * sum(shares.values()) / max(1, len(shares))
+
+
+def recommend_sort_for(df: DataFrame, stats: dict[str, Stats], filters: list[str], bins: int = 32) -> str | None:
+    """The sort field that keeps values of the filtered fields together best; long runs of equal values come last."""
+    able = [s for s in stats.values() if s.kind in ("number", "date", "string") and not s.multi and not s.absent]
+    if not able or not filters:
+        return recommend_sort(stats)
+    cost = {s.name: scatter(df, s.name, filters, bins) for s in able}
+    return min(able, key=lambda s: (s.records > 20 * max(s.distinct, 1), cost[s.name], s.bytes, -s.distinct, s.name)).name
+
+
 def infer_schema(stats: dict[str, Stats], sort_field: str | None = None, pk: str | None = None, indexed: list[str] | None = None) -> CollectionSchema:
     sort_field = sort_field or recommend_sort(stats)
     pk = pk or recommend_pk(stats)

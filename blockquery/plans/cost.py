@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 import math
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.normalize import trigrams
+from ..operators.blocks import record_bytes
+from ..schema import CollectionSchema
 
 MIB = 1 << 20
 
@@ -47,3 +55,32 @@ def scatter(bins_by_value: dict[object, tuple[int, int]]) -> float:
     """Mean number of bins of a value, weighted by its records: value to (records, bins)."""
     total = sum(n for n, _ in bins_by_value.values())
     return sum(n * b for n, b in bins_by_value.values()) / total if total else 0.0
+
+
+def metadata_bytes(blocks: int, bounded: int, postings: int) -> int:
+    """Of the tables beside the blocks: counts and bounds of the sort field, bounds of other fields, and entries of indexes."""
+    return 48 * blocks + 40 * bounded * blocks + 2 * postings
+
+
+def estimate(records: DataFrame, schema: CollectionSchema, block_bytes: int) -> dict[str, Any]:
+    """What a build of these records would make, and what an equality filter on each indexed field would read. Nothing is written."""
+    sized = records.select(record_bytes(records).alias("n"))
+    n, total, p95, largest = sized.selectExpr("count(*)", "coalesce(sum(n), 0)", "coalesce(percentile_disc(0.95) WITHIN GROUP (ORDER BY n), 0)", "coalesce(max(n), 0)").first()
+    blocks, fields, entries, bounded = block_count(int(total), block_bytes), {}, 0, 0
+    for name, f in schema.fields.items():
+        if not f.indexed or schema.is_sort(name) or name not in records.columns:
+            continue
+        bounded += 1
+        c = F.col(f"`{name}`")
+        values = records.select((F.explode(c) if f.multi else c).cast("string").alias("v")).where("v IS NOT NULL")
+        per = values.groupBy("v").agg(F.count("*").alias("k"))
+        card, postings, mean = per.agg(F.count("*"), F.coalesce(F.sum(F.least("k", F.lit(blocks))), F.lit(0)), F.coalesce(F.avg(F.octet_length("v")), F.lit(0.0))).first()
+        own = {"cardinality": card, "postings": postings, "index_bytes": round(index_bytes(card, mean, postings))}
+        if f.ends_with:
+            own["reversed_bytes"] = own["index_bytes"]
+        if f.contains:
+            grams = values.select(F.explode(trigrams(F.col("v"))).alias("g")).groupBy("g").count().agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+            own["trigram_bytes"] = 2 * min(grams[1], grams[0] * blocks)
+        own["equality_bytes"], own["equality_requests"] = equality_cost(n, card, blocks, block_bytes)
+        fields[name], entries = own, entries + postings
+    return {"records": n, "bytes": int(total), "blocks": blocks, "p95_record_bytes": p95, "largest_record_bytes": largest, "recommended_block_bytes": recommended_block_bytes(p95), "range_blocks": range_blocks(blocks), "metadata_bytes": metadata_bytes(blocks, bounded, entries), "fields": fields}

@@ -119,6 +119,11 @@ def read_records(spark: SparkSession, pattern: str, form: str, schema: Collectio
     return _read(lambda paths: spark.read.parquet(*paths), pattern)
 
 
+def head(lines: DataFrame, n: int) -> DataFrame:
+    """The first records only: Spark stops reading once it has them."""
+    return lines.limit(n)
+
+
 def count_records(lines: DataFrame) -> DataFrame:
     """How many records, and their bytes: no parsing."""
     return lines.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))

@@ -77,6 +77,37 @@ def test_lints(spark):
     assert lints.shared_values(CollectionSchema("a", {"a": Field("a", "string", values=values), "b": Field("b", "string", values=values[::-1]), "c": Field("c", "string", values=("z",))})) == [("a", "b")]
 
 
+def test_collection_warnings(spark, tmp_path):
+    from blockquery.build import build
+    from blockquery.client import connect
+    from blockquery.schema import validate
+
+    fields = {"k": Field("k", "number"), "flag": Field("flag", "string", indexed=True), "t": Field("t", "string", indexed=True, contains=True)}
+    rows = [(float(i // 30), "ab"[i % 2], f"text {i}") for i in range(900)]
+    build(spark.createDataFrame(rows, "k double, flag string, t string"), validate(CollectionSchema("k", fields)), str(tmp_path / "w"), block_bytes=2000)
+    found = lints.collection_warnings(connect(spark, str(tmp_path / "w")))
+    assert any("records share a sort value" in w for w in found) and any(w.startswith("flag: a value of its index") for w in found)
+
+
+def test_generated_types():
+    from blockquery.codegen import record_module
+
+    fields = {"a": Field("a", "string", values=("x", "y"), values_type="Letter", nullable=True), "l": Field("l", "string", indexed=True, multi=True, absent=True), "j": Field("j", "json")}
+    text = record_module(CollectionSchema("a", fields), "my set")
+    compile(text, "generated", "exec")
+    assert "Letter = Literal['x', 'y']" in text and "'a': Letter | None" in text and "'l': NotRequired[list[str]]" in text and "class" not in text and "MySetRecord" in text
+
+
+def test_samples_and_sort_choice(spark):
+    from blockquery.operators.sampling import sample
+
+    df = spark.createDataFrame([(i, i // 100, i % 13) for i in range(2000)], "id int, near int, far int")
+    a, b = ([tuple(r) for r in sample(x, 50).collect()] for x in (df, df.repartition(7)))
+    assert a == b and len(set(a)) == 50 and sample(df, 50, 1).collect() != a
+    stats = {s.name: s for s in (make("id", distinct=2000, records=2000), make("near", distinct=20, records=2000), make("far", distinct=13, records=2000))}
+    assert infer.recommend_sort_for(df, stats, ["near"]) == "id" and infer.recommend_sort_for(df, stats, []) == "id"
+
+
 def test_costs():
     assert cost.block_count(0, 10) == 1 and cost.block_count(101, 10) == 11
     assert cost.recommended_block_bytes(10) == 2 << 20 and cost.recommended_block_bytes(99 << 20) == 8 << 20
@@ -93,5 +124,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(config.read_text())["schema"]["fields"]["title"]["indexed"]
     assert main(["build", str(config)]) == 0 and json.loads(capsys.readouterr().out.strip().splitlines()[-1])["records"] == 10
     assert main(["inspect", str(out)]) == 0 and '"records": 10' in capsys.readouterr().out
+    assert main(["inspect", "--config", str(config)]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["records"] == 10 and found["blocks"] == 1 and found["fields"]["title"]["cardinality"] == 10
+    assert main(["codegen", str(config), "--output", str(tmp_path / "movies.py")]) == 0
+    scope: dict = {}
+    exec((tmp_path / "movies.py").read_text(), scope)
+    assert set(scope["RecordsRecord"].__annotations__) == {"year", "title", "rating"} and scope["connect"](spark).count().count == 10
     assert main(["init", source, "--config", str(config), "--reinfer"]) == 0 and json.loads(config.read_text())["schema"]["fields"]["title"]["indexed"]
     assert main(["inspect", str(tmp_path / "nowhere")]) == 1
