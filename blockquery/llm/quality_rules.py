@@ -77,21 +77,23 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-
-
-#: name: (feature as it grows worse, cut-offs from lenient to strict); a document fails above the cut-off.
+#: name: (sign, numerator, denominator, cut-offs from lenient to strict). The signed ratio (0 over 0) grows as a document grows
+#: worse; it fails above the cut-off.
 RULES = {
-    "symbols": (lambda: _ratio("n_symbols", "n_words"), (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05)),
-    "dup_lines": (lambda: _ratio("n_dup_lines", "n_lines"), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    "long_words": (lambda: _ratio("word_chars", "n_words"), (40.0, 30.0, 20.0, 15.0, 13.0, 12.0, 11.0, 10.0, 9.5, 9.0)),
-    "short_words": (lambda: -_ratio("word_chars", "n_words"), (-1.2, -1.5, -2.0, -2.5, -3.0, -3.25, -3.5, -3.75)),
-    "repeats": (lambda: _ratio("n_repeat_words", "n_words"), (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    "few_words": (lambda: -_ratio("n_distinct_words", "n_words"), (-0.02, -0.03, -0.05, -0.08, -0.1, -0.15, -0.2, -0.25)),
+    "symbols": (1, "n_symbols", "n_words", (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05)),
+    "dup_lines": (1, "n_dup_lines", "n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
+    "long_words": (1, "word_chars", "n_words", (40.0, 30.0, 20.0, 15.0, 13.0, 12.0, 11.0, 10.0, 9.5, 9.0)),
+    "short_words": (-1, "word_chars", "n_words", (-1.2, -1.5, -2.0, -2.5, -3.0, -3.25, -3.5, -3.75)),
+    "repeats": (1, "n_repeat_words", "n_words", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
+    "few_words": (-1, "n_distinct_words", "n_words", (-0.02, -0.03, -0.05, -0.08, -0.1, -0.15, -0.2, -0.25)),
 }
 
 
+def worse(name: str) -> Column:
+    sign, a, b, _ = RULES[name]
+    return F.when(F.col(b) > 0, sign * (F.col(a) / F.col(b))).otherwise(F.lit(0.0))
+
+
 def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(at most k of n), exactly up to rounding: terms in logarithms, summed from the largest."""
     if k >= n:
@@ -130,7 +132,7 @@ def thresholds(judged: DataFrame, stratum: str, good: Column, alpha: float = ALP
     judged has FEATURES, base_failed and the stratum; good marks labelled good documents.
     """
     held = judged.where(good & ~F.col("base_failed"))
-    sums = [F.sum((worse() > F.lit(c)).cast("long")).alias(f"{name}__{i}") for name, (worse, cuts) in RULES.items() for i, c in enumerate(cuts)]
+    sums = [F.sum((worse(name) > F.lit(c)).cast("long")).alias(f"{name}__{i}") for name, (*_, cuts) in RULES.items() for i, c in enumerate(cuts)]
     counts = held.groupBy(stratum).agg(F.count("*").alias("n_good"), *sums)
     counts = Scratch(judged.sparkSession, "thresholds").write(counts, "counts")
     strata = counts.count()
@@ -140,7 +142,7 @@ def thresholds(judged: DataFrame, stratum: str, good: Column, alpha: float = ALP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            found = {name: [certify(r["n_good"], [r[f"{name}__{i}"] for i in range(len(cuts))], cuts, share, level) for r in rows] for name, (_, cuts) in RULES.items()}
+            found = {name: [certify(r["n_good"], [r[f"{name}__{i}"] for i in range(len(cuts))], cuts, share, level) for r in rows] for name, (*_, cuts) in RULES.items()}
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.float64()) for v in found.values())], [stratum, "n_good", *(f"max_{n}" for n in found)])
 
     return counts.mapInArrow(run, f"`{stratum}` {kind}, n_good bigint, " + ", ".join(f"max_{n} double" for n in RULES)), strata
@@ -157,7 +159,7 @@ def quality_rules(docs: DataFrame, labelled: DataFrame, stratum: str = "lang", a
     if strata <= BROADCAST_STRATA:
         found = F.broadcast(found)
     judged = base.join(found, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
-    failed = reduce(lambda rest, name: F.when(RULES[name][0]() > F.col(f"max_{name}"), F.lit(name)).otherwise(rest), reversed(list(RULES)), F.lit(None).cast("string"))
+    failed = reduce(lambda rest, name: F.when(worse(name) > F.col(f"max_{name}"), F.lit(name)).otherwise(rest), reversed(list(RULES)), F.lit(None).cast("string"))
     failed = F.when(F.col("base_failed"), F.lit("base")).otherwise(failed)
     return judged.select("doc_id", stratum, *FEATURES, "base_failed", failed.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())
 
@@ -167,5 +169,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
 
 
+def _oracle(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    bad = {name: f"CASE WHEN {b} > 0 THEN {sign} * ({a} / {b}) ELSE 0.0 END" for name, (sign, a, b, _) in RULES.items()}
+    tests = [(name, i, cut) for name, (*_, cuts) in RULES.items() for i, cut in enumerate(cuts)]
+    sums = ", ".join(f"sum(CASE WHEN {bad[name]} > CAST({cut!r} AS DOUBLE) THEN 1 ELSE 0 END)::BIGINT AS {name}__{i}" for name, i, cut in tests)
+    rows = ", ".join(f"{{'rule': '{name}', 'i': {i}, 'cut': CAST({cut!r} AS DOUBLE), 'k': {name}__{i}}}" for name, i, cut in tests)
+    share, cdf = f"CAST({alpha / len(RULES)!r} AS DOUBLE)", "list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({0}) + (n_good - j) * ln(1 - {0}))))"
+    limits = ", ".join(f"max(cut) FILTER (WHERE rule = '{name}') AS max_{name}" for name in RULES)
+    failed = " ".join(f"WHEN {bad[name]} > max_{name} THEN '{name}'" for name in RULES)
+    return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+v AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS v FROM w WHERE len(w) > 2),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, unnest(v) AS k, generate_subscripts(v, 1) AS i FROM v)),
+o AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM x WHERE c > 1) GROUP BY doc_id),
+f AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(o.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(list_distinct(w))::BIGINT AS n_distinct_words FROM w LEFT JOIN o ON o.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+g AS (SELECT lang, count(*) AS n_good, {sums} FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang),
+k AS (SELECT lang, n_good, unnest([{rows}], recursive := true) FROM g),
+l AS (SELECT {delta!r} / ({len(RULES)} * greatest(1, count(*))) AS level FROM g),
+q AS (SELECT *, CASE WHEN k > {share} * n_good THEN FALSE WHEN k >= n_good THEN 1 <= level ELSE {cdf.format(share)} <= level END AS passed FROM k, l),
+s AS (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY i) AS certified FROM q),
+c AS (SELECT lang, rule, arg_max(cut, i) AS cut FROM s WHERE certified GROUP BY lang, rule),
+h AS (SELECT lang, {limits} FROM c GROUP BY lang),
+j AS (SELECT b.*, CASE WHEN base_failed THEN 'base' {failed} END AS failed_rule FROM b LEFT JOIN h ON b.lang IS NOT DISTINCT FROM h.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM j"""
+
+
 QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality_rules": _oracle()}
