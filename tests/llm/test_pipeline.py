@@ -1,5 +1,4 @@
 import re
-import zlib
 
 import corpus_pipeline
 from blockquery.llm.best_fit_packing import pack_documents
@@ -7,9 +6,9 @@ from blockquery.llm.line_crf import classify
 from blockquery.llm.minhash_dedup import link_documents
 from blockquery.llm.secret_scan import find_secrets
 from blockquery.llm.source_mixing import quotas
-from tokenizers import Tokenizer
-
 from blockquery.llm.common import default_vocabulary
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -23,7 +22,8 @@ def stages(spark, docs, sf_dir, tmp_path):
 
 
 def test_stages(spark, small, tmp_path):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+    planted = F.concat("text", F.lit(' token = "'), F.sha1(F.col("doc_id").cast("string")), F.lit('" and so on'))
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("text", F.when(F.col("doc_id") % 7 == 0, planted).otherwise(F.col("text")))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
     out = stages(spark, docs, small, tmp_path)
     rows = {n: df.collect() for n, df in out.items()}
@@ -35,7 +35,7 @@ def test_stages(spark, small, tmp_path):
     assert ids(rows["near_duplicates"]) == ids(link_documents(out["quality"]).where("kept").collect())
     secrets = [r for r in find_secrets(out["near_duplicates"]).collect() if r["secret"]]
     after = {r["doc_id"]: r for r in rows["secrets"]}
-    assert secrets and ids(rows["secrets"]) == ids(rows["near_duplicates"])
+    assert len(secrets) >= 5 and ids(rows["secrets"]) == ids(rows["near_duplicates"])
     for r in secrets:
         assert r["value"] not in after[r["doc_id"]]["text"] and "[secret]" in after[r["doc_id"]]["text"]
     clean = {r["doc_id"]: r for r in rows["near_duplicates"] if r["doc_id"] not in {s["doc_id"] for s in secrets}}
@@ -56,7 +56,6 @@ def test_stages(spark, small, tmp_path):
     assert sum(r["length"] for r in rows["packing"]) == total
     again = pack_documents(out["mixing"]).selectExpr("sum(ids_crc32)").first()[0]
     assert again == sum(r["ids_crc32"] for r in rows["packing"])
-    assert zlib.crc32(b"") == 0
 
 
 def test_edge_cases(spark, edge, nothing, tmp_path):
