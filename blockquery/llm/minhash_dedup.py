@@ -11,9 +11,11 @@ Links. Documents with the same set are one node, named by their smallest id. Can
 64-bit shingle hashes. No group is expanded into its pairs: first each node is held against the smallest node it shares a
 band with; verified links are contracted to components; then, as long as a band's bucket holds nodes of several components,
 some nodes outside its largest component (pivots) are held against all of the bucket that are not yet connected to them,
-and leave it. When no bucket holds two components, every pair that shares a band is either connected or has been refuted,
-so no link is lost, and a group of m copies costs about m verifications. Components come from contraction with pointer
-jumping. Everything stays distributed; nothing about documents reaches the driver but counts.
+and leave it. A pair is held together in the first band that it shares and nowhere else, and its full sets are compared
+only if a second, longer sketch (1024 coordinates of two bits) does not rule the similarity out: a pair of similarity 0.8
+is ruled out with probability under 1e-6. When no bucket holds two components, every pair that shares a band is either
+connected or has been refuted, and a group of m copies costs about m verifications. Components come from contraction with
+pointer jumping. Everything stays distributed; nothing about documents reaches the driver but counts.
 
 A document without words, or null, has no shingles and is linked with nothing. A null id is linked with nothing, its
 component is null and it is kept. Rows that repeat an id are one document for linking. An empty table gives an empty
@@ -22,6 +24,7 @@ result. Columns beside doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import GOLD, Scratch, chain_hash, documents, mix, text_bytes, text_slices
 
-SHINGLE = 4
+#: Words of a shingle; the query's contract has four.
+SHINGLE, QUERY_SHINGLE = 5, 4
 NUMERATOR, DENOMINATOR = 80, 100
 BANDS, ROWS = 30, 5
 #: Ids are broadcast to the documents up to so many (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Pivots of a bucket in the first round of elimination; four times as many in each further one.
 SLOTS = 32
+#: Coordinates of the second sketch; 32 fill a long. Standard deviations by which it may fall short of a similar pair's.
+LONG, DEVIATIONS = 1024, 5.0
+_SEED = np.uint64(0x5365636F6E645F31)
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -82,6 +89,18 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return key
 
 
+def two_bits(h: np.ndarray, t: int = LONG) -> np.ndarray:
+    """Two bits of each coordinate of the second sketch, 32 in a long. Similar sets differ in few."""
+    bits = (mix(sketch(mix(h ^ _SEED), t)) >> np.uint64(62)).reshape(-1, 32)
+    return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def most_different(numerator: int, denominator: int, t: int = LONG) -> int:
+    """Coordinates in which a pair just similar enough differs, DEVIATIONS standard deviations above their mean."""
+    p = 0.75 * (1 - numerator / denominator)
+    return math.ceil(t * p + DEVIATIONS * math.sqrt(t * p * (1 - p)))
+
+
 def similar(a: np.ndarray, b: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return denominator * both >= numerator * (len(a) + len(b) - both)
@@ -109,13 +128,15 @@ def _described(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """node, set, bits (the second sketch)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in texts], pa.binary())], ["node", "set"])
+            sets = [shingles(t, words) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([two_bits(h) if len(h) else None for h in sets], pa.list_(pa.int64()))], ["node", "set", "bits"])
 
-    return text_bytes(docs, "doc_id").mapInArrow(run, f"node {kind}, set binary")
+    return text_bytes(docs, "doc_id").mapInArrow(run, f"node {kind}, set binary, bits array<bigint>")
 
 
 def _verified(edges: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -175,18 +196,21 @@ def link_documents(docs: DataFrame, words: int = SHINGLE, numerator: int = NUMER
     alive = described.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # copies meet before anything else; the aggregate runs in part before the shuffle
     classes = scratch.write(alive.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n")), "classes")
-    exploded = classes.select("node", "n", F.explode("bands").alias("key"))
+    exploded = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = exploded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
     members = scratch.write(exploded.join(shared, "key"), "members")
-    component = _link_members(docs, members, scratch, words, numerator, denominator)
+    rounds = Scratch(docs.sparkSession, "minhash-rounds")
+    component = scratch.write(_link_members(docs, classes, members, rounds, words, numerator, denominator), "component")
+    rounds.drop()
+    scratch.drop("members")
     of_class = classes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found = own.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(of_class, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = own.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _link_members(docs: DataFrame, members: DataFrame, scratch: Scratch, words: int, numerator: int, denominator: int) -> DataFrame:
-    """node, component of all members. members: key, node, n, first (the smallest node of the bucket)."""
+def _link_members(docs: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch, words: int, numerator: int, denominator: int) -> DataFrame:
+    """node, component of all members. members: band, key, node, first (the smallest node of the bucket)."""
     nodes = scratch.write(members.groupBy("node").agg(F.min("first").alias("first")), "nodes")
     many = nodes.count()
     wanted = nodes.select(F.col("node").alias("doc_id"))
@@ -195,43 +219,52 @@ def _link_members(docs: DataFrame, members: DataFrame, scratch: Scratch, words:
     if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = scratch.write(sets, "sets")
     else:  # rows that repeat an id: any one set of each
-        sets = scratch.write(sets.groupBy("node").agg(F.min("set").alias("set")), "sets")
+        sets = scratch.write(sets.groupBy("node").agg(F.min(F.struct("set", "bits")).alias("s")).select("node", "s.set", "s.bits"), "sets")
     # round 1: each node against the smallest node that it shares a band with
     edges = nodes.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
     tested = scratch.write(_verified(edges, sets, numerator, denominator), "tested-1")
     labels = components(tested.where("ok"), scratch, "round-1")
     component = scratch.write(_relabelled(nodes.select("node", F.col("node").alias("component")), labels), "component-1")
-    rest, turn = members.select("key", "node", "n"), 1
+    described = scratch.write(classes.select("node", "n", "bands").join(sets.select("node", "bits"), "node"), "two-bits")
+    rest, turn = members.select("band", "key", "node"), 1
     while True:
         turn += 1
         labelled = rest.join(component, "node")
         # buckets that hold several components, and the largest of these
         counts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-        mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-        rest = scratch.write(labelled.join(mixed, "key").select("key", "node", "n", "component", "main"), f"rest-{turn}")
+        mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"), (F.sum("size") - F.max("size")).alias("outside")).where("kinds > 1")
+        # about so many pivots among the nodes outside the main component; ever more, so that rounds stay few
+        slots = SLOTS << 2 * (turn - 2)
+        drawn = F.pmod(F.xxhash64("key", "node"), F.greatest(F.lit(1), F.floor(F.col("outside") / slots))) == 0
+        rest = scratch.write(labelled.join(mixed, "key").select("band", "key", "node", "component", ((F.col("component") != F.col("main")) & drawn).alias("pivot")), f"rest-{turn}")
         if rest.isEmpty():
             return component
-        # a pivot of each slot that nodes outside the main component are hashed into; ever more slots, so that rounds stay few
-        outside, slots = rest.where("component != main"), SLOTS << 2 * (turn - 2)
-        chosen = outside.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("node", "n", "component")).alias("p"))
-        pivots = scratch.write(chosen.select("key", "p.node", "p.n", "p.component"), f"pivots-{turn}")
-        against = pivots.select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("component").alias("p_component"))
-        pairs = rest.join(against, "key").where("component != p_component")
-        # sets whose sizes differ too much cannot be similar
-        pairs = pairs.where(denominator * F.least("n", "p_n") >= numerator * F.greatest("n", "p_n"))
-        edges = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        edges = _candidates(rest.join(described, "node"), numerator, denominator)
         now = scratch.write(_verified(edges, sets, numerator, denominator), f"tested-{turn}")
         joined = now.where("ok").join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
         labels = components(joined.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), scratch, f"round-{turn}")
         component = scratch.write(_relabelled(component, labels), f"component-{turn}")
-        tested = docs.sparkSession.read.schema(tested.schema).parquet(*(scratch.path(f"tested-{i}") for i in range(1, turn + 1)))
-        rest = rest.select("key", "node", "n").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
+        rest = rest.where("NOT pivot").select("band", "key", "node")
+
+
+def _candidates(rest: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """a, b: pivots and members of their buckets, each pair in the first band that it shares, that may be similar enough."""
+    columns = ("key", "node", "component", "n", "bands", "bits")
+    p = rest.where("pivot").select("key", *(F.col(c).alias(f"p_{c}") for c in columns[1:]))
+    sizes = denominator * F.least("n", "p_n") >= numerator * F.greatest("n", "p_n")
+    once = ~F.col("pivot") | (F.col("node") < F.col("p_node"))
+    first = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), True) == F.col("band") + 1
+    halves = 0x5555555555555555
+    differ = F.zip_with("bits", "p_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(F.lit(halves))))
+    close = F.aggregate(differ, F.lit(0), lambda total, x: total + x) <= most_different(numerator, denominator)
+    pairs = rest.join(p, "key").where((F.col("component") != F.col("p_component")) & sizes & once & first & close)
+    return pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """The documents, one of each component, with every column they have."""
     scratch = Scratch(docs.sparkSession, "minhash-kept")
-    linked = scratch.write(link_documents(docs), "linked")
+    linked = scratch.write(link_documents(docs, words), "linked")
     gone = linked.where(~F.col("kept")).select("doc_id").distinct()
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     if linked.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -240,8 +273,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(documents(spark, sf_dir))
+    return link_documents(documents(spark, sf_dir), QUERY_SHINGLE)
 
 
 QUERIES = {"op6_minhash_dedup": op6_minhash_dedup}
-ORACLES: dict[str, str] = {}
+#: All pairs that share a shingle, counted exactly; components by the smallest id that reaches a document.
+ORACLES = {
+    "op6_minhash_dedup": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
+}
