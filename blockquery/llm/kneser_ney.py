@@ -37,6 +37,8 @@ FOLDS, HELD_OUT = 10, 0
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000002)
 #: Text that a task counts at once.
 TOGETHER = 32 << 20
+#: Words whose surroundings one task adds up; what reaches it from all shards is some 20 MB on a corpus of any size.
+GROUP_WORDS = 1 << 20
 _FULL = 255  # counts from here on are in the overflow
 
 
@@ -179,6 +181,10 @@ class Vocabulary:
         n = np.array([sizes.get(s, (0, 0))[0] for s in range(shards)], np.int64)
         self.first = np.cumsum(n) - n
         self.n = n
+        # what stands around words is kept by runs of shards of about GROUP_WORDS words: a bigram shard sends each run one block
+        self.groups = min(shards, max(16, 1 << math.ceil(math.log2(max(1, int(n.sum()) / GROUP_WORDS)))))
+        self.group_first = self.first[:: shards // self.groups]
+        self.group_n = n.reshape(self.groups, -1).sum(axis=1)
         self.files: dict[tuple[str, int], list[np.ndarray]] = {}
 
     def __getstate__(self) -> dict:
@@ -207,12 +213,12 @@ class Vocabulary:
     def around(self, numbers: np.ndarray) -> np.ndarray:
         """N1, N2, N3+ of what follows and N of what precedes, for sorted numbers (-1: zeros)."""
         out = np.zeros((len(numbers), 4), np.int64)
-        shard = np.searchsorted(self.first, numbers, side="right") - 1
-        for s in np.unique(shard[numbers >= 0]):
-            # empty shards begin where the next does; the last of these holds the words
-            own = (shard == s) & (numbers >= 0)
-            dense = self.file("around", int(s))[0].reshape(-1, 4)
-            out[own] = dense[numbers[own] - self.first[s]]
+        group = np.searchsorted(self.group_first, numbers, side="right") - 1
+        for g in np.unique(group[numbers >= 0]):
+            # empty groups begin where the next does; the last of these holds the words
+            own = (group == g) & (numbers >= 0)
+            dense = self.file("around", int(g))[0].reshape(-1, 4)
+            out[own] = dense[numbers[own] - self.group_first[g]]
         return out
 
 
@@ -239,7 +245,7 @@ def _unmix(x: np.ndarray) -> np.ndarray:
 
 
 def count_bigrams(train: DataFrame, vocabulary: Vocabulary, root: str, shards: int) -> tuple[DataFrame, str]:
-    """Files of bigrams and counts; a row for each pair of shards with what the bigrams say about the words around them."""
+    """Files of bigrams and counts; a row for each shard and group of words with what the bigrams say about the words around them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_slices(batches, TOGETHER):
@@ -260,23 +266,23 @@ def count_bigrams(train: DataFrame, vocabulary: Vocabulary, root: str, shards: i
         found = np.zeros((len(rows), 4), np.int64)
         np.add.at(found, (index[: len(keys)], kind), 1)
         np.add.at(found, (index[len(keys) :], 3), 1)
-        of = np.searchsorted(vocabulary.first, rows, side="right") - 1
-        at = np.append(np.searchsorted(of, np.arange(shards)), len(rows))
-        own = [s for s in range(shards) if at[s] < at[s + 1]]
+        of = np.searchsorted(vocabulary.group_first, rows, side="right") - 1
+        at = np.append(np.searchsorted(of, np.arange(vocabulary.groups)), len(rows))
+        own = [g for g in range(vocabulary.groups) if at[g] < at[g + 1]]
         n = len(own)
         of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         return pa.table(
             {
-                "shard": pa.array(own, pa.int32()),
-                "numbers": pa.array([(rows[at[s] : at[s + 1]] - vocabulary.first[s]).astype("<u4").tobytes() for s in own], pa.binary()),
-                "found": pa.array([found[at[s] : at[s + 1]].astype("<u4").tobytes() for s in own], pa.binary()),
+                "part": pa.array(own, pa.int32()),
+                "numbers": pa.array([(rows[at[g] : at[g + 1]] - vocabulary.group_first[g]).astype("<u4").tobytes() for g in own], pa.binary()),
+                "found": pa.array([found[at[g] : at[g + 1]].astype("<u4").tobytes() for g in own], pa.binary()),
                 # the shard's own sums, once
                 **{f"n{k + 1}": pa.array([of_counts[k]] + [0] * (n - 1), pa.int64()) for k in range(4)},
                 "distinct": pa.array([len(keys)] + [0] * (n - 1), pa.int64()),
             }
         )
 
-    schema = "shard int, numbers binary, found binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint, distinct bigint"
+    schema = "part int, numbers binary, found binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint, distinct bigint"
     return text_bytes(train).mapInArrow(count, _BLOCK).groupBy("shard").applyInArrow(merge, schema), schema
 
 
@@ -285,17 +291,17 @@ def count_around(parts: DataFrame, vocabulary: Vocabulary, root: str) -> list[in
     start = vocabulary.find(np.array([START]))[0][0]
 
     def merge(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        dense = np.zeros((int(vocabulary.n[shard]), 4), np.int64)
+        part = table.column("part")[0].as_py()
+        dense = np.zeros((int(vocabulary.group_n[part]), 4), np.int64)
         for numbers, found in zip(table.column("numbers").to_pylist(), table.column("found").to_pylist()):
             dense[np.frombuffer(numbers, "<u4")] += np.frombuffer(found, "<u4").reshape(-1, 4)  # numbers of a block are distinct
-        put(f"{root}/around-{shard}", [dense.reshape(-1).astype("<u8" if dense.max(initial=0) >> 32 else "<u4")])
+        put(f"{root}/around-{part}", [dense.reshape(-1).astype("<u8" if dense.max(initial=0) >> 32 else "<u4")])
         before = dense[:, 3]
-        if vocabulary.first[shard] <= start < vocabulary.first[shard] + vocabulary.n[shard]:
-            before = np.delete(before, start - vocabulary.first[shard])
+        if vocabulary.group_first[part] <= start < vocabulary.group_first[part] + vocabulary.group_n[part]:
+            before = np.delete(before, start - vocabulary.group_first[part])
         return pa.table({f"n{k}": pa.array([int((before == k).sum())], pa.int64()) for k in (1, 2, 3, 4)} | {"more": pa.array([int((before >= 3).sum())], pa.int64())})
 
-    found = parts.groupBy("shard").applyInArrow(merge, "n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
+    found = parts.groupBy("part").applyInArrow(merge, "n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
     row = found.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "more"))).first()
     return list(row)
 
