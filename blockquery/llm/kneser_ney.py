@@ -38,7 +38,7 @@ START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000002)
 #: Text that a task counts at once.
 TOGETHER = 32 << 20
 #: Words whose surroundings one task adds up; what reaches it from all shards is some 20 MB on a corpus of any size.
-GROUP_WORDS = 1 << 20
+GROUP_WORDS = 1 << 16
 _FULL = 255  # counts from here on are in the overflow
 
 
