@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
@@ -67,6 +68,14 @@ def text_bytes(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.col("text").cast("binary").alias("text"))
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Spark keeps its Python workers, and with them all that they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about `most` bytes of text (a longer text stands alone), with the texts; null is empty."""
     for batch in batches:
@@ -79,6 +88,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Itera
             total += len(t)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+    batch = texts = None
+    release_memory()
 
 
 def bucket_of(column: str = "doc_id", parts: int = 10):
