@@ -163,19 +163,23 @@ def default_vocabulary() -> str:
 
 
 class _Known(dict):
-    """Ids by key, found by `encode` once and kept; all are forgotten when there are `limit`."""
+    """The ids that `find` gives for a key, packed, kept for `limit` keys at most: when half of that is full it becomes the older half, from which keys in use come back."""
 
-    def __init__(self, encode, limit: int):
+    def __init__(self, find, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.find, self.half, self.older = find, limit // 2, {}
 
     def __missing__(self, key):
-        ids = self.encode(key)
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = found
+        found = self.older.get(key)
+        if found is None:
+            ids = self.find(key)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(key) > 64:
+                return found
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -188,14 +192,13 @@ class WordIds:
     hold this against encoding whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         model = self.tokenizer.model
-        whole = lambda w: self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self.words = _Known(whole, limit)
+        self.words = _Known(lambda w: self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, limit // 4)
         self.ascii = _Known(lambda p: [x.id for x in model.tokenize(p.decode("ascii"))], limit)
         self.latin = _Known(lambda p: [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(_SHOWN))], limit)
 

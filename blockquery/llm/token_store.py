@@ -116,10 +116,10 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         wide = encode.tokenizer.get_vocab_size() > 1 << 16
         gear = (mix(np.arange(1, max(encode.tokenizer.get_vocab_size(), end_id + 1) + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
         for batch, texts in text_slices(batches):
-            rows, chunks, encoded = [], [], [own + end for own in encode(texts)]
-            ids = np.frombuffer(b"".join(encoded), "<u4")
+            rows, chunks, encoded = [], [], encode(texts)
+            ids = np.frombuffer(end.join(encoded) + end, "<u4")
             stored, found = (ids if wide else ids.astype("<u2")).tobytes(), marks(ids, gear)
-            ends = np.cumsum([len(own) // 4 for own in encoded])
+            ends = np.cumsum([len(own) // 4 + 1 for own in encoded])
             split, first = np.searchsorted(found, ends, "right").tolist(), 0
             found, width, begin = found.tolist(), 4 if wide else 2, 0
             for stop, last in zip(ends.tolist(), split):
