@@ -56,7 +56,7 @@ def _line(line: bytes, seen: set[bytes], before: bytes) -> tuple[float, ...]:
         return (0.0,) * 15 + (1.0, 0.0, 0.0)
     counts = Counter(words)
     cut = lambda chars: (n - len(line.translate(None, chars))) / n
-    low = [w.lower().strip(_MARKS) for w in words] if m < 400 else [w.lower().strip(_MARKS) for w in words[:400]]
+    stop = sum(k for w, k in counts.items() if w.lower().strip(_MARKS) in _STOPWORDS)
     pairs = len(set(zip(words, words[1:])))
     return (
         np.log1p(m),
@@ -71,7 +71,7 @@ def _line(line: bytes, seen: set[bytes], before: bytes) -> tuple[float, ...]:
         max(counts.values()) / m,
         1.0 if line in seen else 0.0,
         1.0 if line == before else 0.0,
-        sum(w in _STOPWORDS for w in low) / len(low),
+        stop / m,
         1.0 - pairs / (m - 1) if m > 1 else 0.0,
         1.0 if line.rstrip(_SPACES).endswith(_ENDS) else 0.0,
         0.0,

@@ -32,6 +32,15 @@ def test_features_use_neighbours():
     assert line_features(b"")[0].shape == (1, WIDTH)
 
 
+def test_stopword_share_is_of_the_whole_line():
+    head, prose, junk = PROSE.split() * 20, "The house of the river.".split() * 100, "zxqv brrk the7 qqx, mmh".split() * 100
+    x, y = (line_features(" ".join(head[:400] + tail).encode())[0] for tail in (prose, junk))
+    plain = sum(w in ("the", "over", "and", "then", "it", "from") and w.encode() in line_crf._STOPWORDS for w in head[:400])
+    assert np.isclose(x[0, 12], (plain + 300) / 900) and np.isclose(y[0, 12], plain / 900)
+    short = line_features(b"The house, of the river (the) long (river)")[0]
+    assert np.isclose(short[0, 12], 4 / 8)
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     line = lambda: " ".join(r.choice(PROSE.split()) for _ in range(r.randint(4, 12))) + "."
