@@ -6,7 +6,8 @@ that dictionary words cover, what its path says, and its neighbouring words. The
 findings, a small table, and its trees become nested CASE expressions, so that scanning is one pass over the documents
 with built-in functions and no shuffle: no Python runs on executors.
 
-Null text has no candidates. A value that stands several times in a document is one finding, judged where it stands first.
+Null text has no candidates. A value that stands several times in a document is judged at each place; it is one finding
+with its first start and its highest score, and `find_occurrences` has a row for each place.
 Repeated rows and equal ids are judged each on their own. A null path says nothing. An empty table gives an empty result.
 Findings need doc_id, text and the path column; `redact` keeps every column it is given.
 """
@@ -184,26 +185,79 @@ def forest_score(forest: list, get) -> Column:
 # --- scanning ------------------------------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once: inside a function of an array, a column is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _positions(lengths: Column) -> Column:
+    """The running sums before each length, gathered in blocks: appending to one array would copy it for each element."""
+    ints = F.array().cast("array<int>")
+
+    def step(acc: Column, n: Column) -> Column:
+        full = F.size(acc["block"]) >= 256
+        done = F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"])
+        block = F.concat(F.when(full, ints).otherwise(acc["block"]), F.array(acc["total"]))
+        return F.struct((acc["total"] + n).alias("total"), block.alias("block"), done.alias("done"))
+
+    start = F.struct(F.lit(0).alias("total"), ints.alias("block"), F.array().cast("array<array<int>>").alias("done"))
+    return F.aggregate(lengths, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["block"]))
+
+
+def _walk(text: Column, pattern: str, least: int) -> Column:
+    """An array of (match, at, before, after) of every match at its own place; no match is shorter than `least`.
+
+    Contexts are put together from the text between the matches and as many neighbouring matches as can lie in them.
+    """
+    back, ahead = -(-BEFORE // least), -(-AFTER // least)
+    whole = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+
+    def placed(w: Column) -> Column:
+        gap = lambda i: F.coalesce(F.get(w["gaps"], i), F.lit(""))
+        match = lambda i: F.coalesce(F.get(w["matches"], i), F.lit(""))
+        lengths = F.zip_with(w["gaps"], w["matches"], lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+
+        def one(m: Column, i: Column, at: Column) -> Column:
+            before = F.concat(*(part for k in range(back, -1, -1) for part in ((match(i - k - 1) if k < back else F.lit("")), gap(i - k))))
+            after = F.concat(*(part for k in range(ahead) for part in (gap(i + 1 + k), match(i + 1 + k))))
+            return F.struct(m.alias("match"), (F.get(at, i) + F.length(gap(i)) + 1).alias("at"), F.substring(before, -BEFORE, BEFORE).alias("before"), F.substring(after, 1, AFTER).alias("after"))
+
+        return _let(_positions(lengths), lambda at: F.transform(w["matches"], lambda m, i: one(m, i, at)))
+
+    return _let(whole, placed)
+
+
+def occurrences(text: Column, path: Column, forest: list) -> Column:
+    """An array of (value, start, score) of every candidate of a text, each judged where it stands."""
+    found = F.transform(_walk(text, CANDIDATE, 16), lambda c: F.struct(c["match"].alias("value"), c["at"].alias("start"), c["before"].alias("before"), c["after"].alias("after")))
+    described = F.transform(found, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), *(f.cast("double").alias(n) for n, f in features(c["value"], c["before"], c["after"], path).items())))
+    return F.transform(described, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), forest_score(forest, lambda n: c[n]).alias("score")))
+
+
 def scored(text: Column, path: Column, forest: list) -> Column:
-    """An array of (value, start, score, secret) of a text's candidates, in order of first appearance."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    placed = F.transform(found, lambda v: F.struct(v.alias("value"), F.instr(text, v).alias("start")))
-    with_context = F.transform(
-        placed,
-        lambda c: F.struct(
-            c["value"].alias("value"),
-            c["start"].alias("start"),
-            F.substring(text, F.greatest(F.lit(1), c["start"] - BEFORE), F.least(F.lit(BEFORE), c["start"] - 1)).alias("before"),
-            F.substring(text, c["start"] + F.length(c["value"]), F.lit(AFTER)).alias("after"),
-        ),
-    )
-    described = F.transform(with_context, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), *(f.cast("double").alias(n) for n, f in features(c["value"], c["before"], c["after"], path).items())))
-    judged = F.transform(described, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), forest_score(forest, lambda n: c[n]).alias("score")))
-    return F.transform(judged, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), c["score"].alias("score"), (c["score"] >= THRESHOLD).alias("secret")))
+    """An array of (value, start, score, secret) of a text's distinct candidates, in order of first appearance: the first start and the highest score of each."""
+
+    def heads(o: Column) -> Column:
+        # both orders have a value's places side by side, so its first start and its highest score have one index
+        first = lambda i: F.get(o["by_start"], i)
+        own = F.filter(F.sequence(F.lit(0), F.size(o["by_start"]) - 1), lambda i: (i == 0) | (first(i)["value"] != first(i - 1)["value"]))
+        return F.transform(own, lambda i: F.struct(first(i)["start"].alias("start"), first(i)["value"].alias("value"), (-F.get(o["by_score"], i)["order"]).alias("score")))
+
+    by_score = lambda found: F.sort_array(F.transform(found, lambda c: F.struct(c["value"].alias("value"), (-c["score"]).alias("order"))))
+    both = _let(occurrences(text, path, forest), lambda found: F.struct(F.sort_array(found).alias("by_start"), by_score(found).alias("by_score")))
+    judged = _let(both, lambda o: F.when(F.size(o["by_start"]) > 0, heads(o)))
+    return F.transform(F.sort_array(judged), lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), c["score"].alias("score"), (c["score"] >= THRESHOLD).alias("secret")))
+
+
+def find_occurrences(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
+    """A row for each place of each candidate, judged by itself: doc_id, value, start (from 1), score and secret."""
+    forest = train_forest(findings if findings is not None else findings_table(docs.sparkSession))
+    found = docs.select("doc_id", F.explode(occurrences(F.col("text"), F.col(path), forest)).alias("f"))
+    return found.select("doc_id", "f.value", "f.start", "f.score", (F.col("f.score") >= THRESHOLD).alias("secret"))
 
 
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
-    """A row for each candidate: doc_id, value, start (from 1), score and secret."""
+    """A row for each distinct candidate of a document: doc_id, value, start (from 1) of its first place, its highest score and secret."""
     forest = train_forest(findings if findings is not None else findings_table(docs.sparkSession))
     found = docs.select("doc_id", scored(F.col("text"), F.col(path), forest).alias("found"))
     return found.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.value", "f.start", "f.score", "f.secret")

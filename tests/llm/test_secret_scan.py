@@ -1,7 +1,7 @@
 import random
 import re
 
-from blockquery.llm.secret_scan import CANDIDATE, FEATURES, features, find_secrets, findings_table, forest_score, labelled_findings, op2_secret_scan, redact, train_forest
+from blockquery.llm.secret_scan import CANDIDATE, FEATURES, features, find_occurrences, find_secrets, findings_table, forest_score, labelled_findings, op2_secret_scan, redact, train_forest
 from pyspark.sql import functions as F
 
 from .conftest import python_free
@@ -46,6 +46,31 @@ def test_candidates_and_redaction(spark, edge, nothing):
     assert redact(nothing).count() == 0 == find_secrets(nothing).count()
 
 
+def test_every_occurrence_is_judged_where_it_stands(spark):
+    r = random.Random(5)
+    a, b, c = ("".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(3))
+    texts = {
+        1: f'see commit {a} of the build and later on token = "{a}" end',
+        2: f'path/{b}/more of it \U0001f600 and then token = "{b}" end',
+        3: f'commit {c} and commit {c} end',
+        4: " ".join(f"{i:016d}-{i % 7}" for i in range(1500)) + f' {a}\n{b},{c}',
+    }
+    docs = spark.createDataFrame([(i, t, "src/main.py", 0) for i, t in texts.items()], "doc_id int, text string, source string, n_chars int")
+    places = find_occurrences(docs)
+    assert python_free(places)
+    rows = places.collect()
+    for i, t in texts.items():
+        assert sorted((x["start"], x["value"]) for x in rows if x["doc_id"] == i) == [(m.start() + 1, m[0]) for m in re.finditer(CANDIDATE, t)]
+    found = {(x["doc_id"], x["value"]): x for x in find_secrets(docs).collect()}
+    for (i, v), x in found.items():
+        own = [y for y in rows if (y["doc_id"], y["value"]) == (i, v)]
+        assert x["score"] == max(y["score"] for y in own) and x["start"] == min(y["start"] for y in own)
+    assert found[1, a]["secret"] and found[2, b]["secret"] and not found[3, c]["secret"]
+    assert found[2, b]["start"] == texts[2].rindex(b) + 1
+    out = {x["doc_id"]: x["text"] for x in redact(docs).collect()}
+    assert a not in out[1] and b not in out[2] and out[3] == texts[3]
+
+
 def test_query(spark, small, small_docs):
     """Every candidate of a plain scan of the texts, once in each document, and planted tokens are secrets."""
     rows = op2_secret_scan(spark, small).collect()
