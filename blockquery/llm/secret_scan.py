@@ -1,7 +1,8 @@
 """Secret scan: candidates by one expression, false positives removed by a random forest compiled to SQL.
 
-A candidate is a run of at least 16 characters of keys (letters, digits, + / _ -) that holds a digit, with the words
-before and after it and the document's path. Its features are its length, entropy and character transitions, the share
+A candidate is a whole run of at least 16 characters of keys (letters, digits, + / _ -), however long, or a quoted value of
+any length and characters on one line that is assigned to a name of secrets (password = "..."), with the words before and
+after it and the document's path. Its features are its length, entropy and character transitions, the share
 that dictionary words cover, what its path says, and its neighbouring words. The forest is trained by MLlib from labelled
 findings, a small table, and its trees become nested CASE expressions, so that scanning is one pass over the documents
 with built-in functions and no shuffle: no Python runs on executors.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,512}+={0,2}"
+# possessive everywhere: linear, and without a stack that grows with the text
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 BEFORE, AFTER = 48, 32
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 25, 7, 7
@@ -39,11 +41,16 @@ _WORDS = (
 ).split()
 _BIGRAMS = "th he in er an re nd at on nt ha es st en ed to it ou ea is or ti as te et ng of al de se le ar ve ra ur ro io co me ic".split()
 _SECRET_WORDS = r"token|secret|passw|pwd|api.?key|access.?key|auth|credential|private|bearer|signing|encrypt"
+_ASSIGNED_TO = rf"(?i)(?:{_SECRET_WORDS})[A-Za-z0-9_.\-]{{0,32}}[\"'`]?\]?[ \t]{{0,4}}(?:=>|:=|={{1,3}}|:)[ \t]{{0,4}}"
+#: An assigned value in quotes; a quote after a backslash does not end it.
+ASSIGNED = _ASSIGNED_TO + "(?:" + "|".join(rf"{q}(?:[^{q}\\\n]|\\[^\n])++{q}" for q in "\"'`") + ")"
+#: The shortest: pwd="x"
+LEAST_ASSIGNED = 7
 _OTHER_WORDS = r"example|sample|dummy|placeholder|fake|sha-?1|sha-?256|md5|checksum|commit|uuid|guid|digest|hash|revision|etag|integrity|version|order|phone|card|account number|isbn|serial|tracking|build"
 _TEST_PATHS = r"test|example|sample|fixture|mock|docs?/|vendor|readme|demo"
 _PREFIX = r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live|rk_live|eyJ|AIza|glpat-|npm_|SG)"
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", "A" * 26 + "a" * 26 + "0" * 10 + "-" * 5)
-FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "entropy", "bigrams", "coverage", "hex", "dashes", "prefix", "test_path", "secret_word", "assigned", "other_word", "in_url", "quoted")
+FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "entropy", "bigrams", "coverage", "hex", "dashes", "prefix", "test_path", "secret_word", "assigned", "other_word", "in_url", "quoted", "has_digit", "marks", "spaces")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -76,6 +83,9 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "other_word": flag(around.rlike(_OTHER_WORDS)),
         "in_url": flag(before.rlike(r"(://|www\.|\.com/|[a-z0-9]/)\S*$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
+        "has_digit": flag(value.rlike("[0-9]")),
+        "marks": _count(value, r"[^A-Za-z0-9+/_\-=\s]") / n,
+        "spaces": _count(value, r"\s") / n,
     }
 
 
@@ -102,14 +112,21 @@ def labelled_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str, s
                 lambda: "sk_live_" + pick(alnum, 24),
                 lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(alnum, 24),
                 lambda: pick(alnum + "_-", r.randint(18, 32)),
+                lambda: pick(alnum[:52], r.randint(18, 44)),
+                lambda: pick(alnum + "+/", r.choice((128, 300, 600, 1600))),
+                lambda: r.choice("!&#%@$") + pick(alnum + "!&#%@$*?.", r.randint(7, 18)),
+                lambda: pick(alnum, r.randint(4, 10)) + pick("!&#%@$*?", 1) + pick(alnum, r.randint(3, 8)),
+                lambda: r.choice(_WORDS).capitalize() + pick("0123456789", r.randint(1, 4)) + pick("!&#%@$*?", r.randint(1, 2)),
             )
         )()
         quote = r.choice(('"', '"', "'", "", "`"))
         known = bool(re.match(_PREFIX, value))
-        before = filler() + (" " if known and r.random() < 0.4 else f" {r.choice(keys)}{r.choice((' = ', ': ', '=', ' : ', ' => ', ' '))}") + quote
+        if re.search("[^A-Za-z0-9+/_-]", value) or len(value) < 16:
+            quote = r.choice(('"', "'", "`"))  # such values are candidates in quotes only
+        before = filler() + (" " if known and r.random() < 0.4 else f" {r.choice(keys)}{r.choice((' = ', ': ', '=', ' : ', ' => ', *([] if len(value) < 16 else [' '])))}") + quote
         out.append((value, before, quote + " " + filler(), r.choice(paths), 1))
     for _ in range(n - n // 2):
-        shape = r.randrange(10)
+        shape = r.randrange(15)
         quote, path, key = r.choice(('"', "'", "", "")), r.choice(paths), r.choice(keys)
         before, after = filler() + " ", " " + filler()
         if shape == 0:  # digests and revisions
@@ -130,6 +147,19 @@ def labelled_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str, s
             value = r.choice("-_=x0") * r.randint(16, 40) + str(r.randint(0, 9))
         elif shape == 8:  # words of prose run together, with a number
             value = "".join(r.choice(_BIGRAMS) for _ in range(r.randint(8, 16))) + str(r.randint(0, 2030))
+        elif shape == 10:  # names and paths without a digit
+            value, before = r.choice(("_", "-", "/", "/")).join(r.choice(_WORDS) for _ in range(r.randint(3, 9))), before + r.choice(("", "", '"', "import ", "see ", "/", key + ": "))
+        elif shape == 11:  # long words, and words in capitals run together
+            value = r.choice(("".join(r.choice(_BIGRAMS) for _ in range(r.randint(8, 20))), "".join(r.choice(_WORDS).capitalize() for _ in range(r.randint(3, 6)))))
+            before += r.choice(("", "", "class ", key + " "))
+        elif shape == 12:  # rules
+            value = r.choice("-_/+") * r.randint(16, 90)
+        elif shape == 13:  # words, messages and names under a secret's name
+            quote = r.choice(('"', "'", "`"))
+            value = r.choice((lambda: r.choice(_WORDS), lambda: filler() + " " + r.choice(_WORDS), lambda: r.choice(_WORDS).capitalize() + " " + filler() + ".", lambda: "${" + r.choice(_WORDS).upper() + "}", lambda: "<" + r.choice(_WORDS) + ">", lambda: "_".join(r.choice(_WORDS) for _ in range(2)), lambda: "*" * r.randint(4, 12)))()
+            before, after = before + key + r.choice((" = ", ": ", "=", " => ")) + quote, quote + after
+        elif shape == 14:  # pictures and files as text
+            value, before = pick(alnum + "+/", r.choice((60, 128, 300, 600, 1600))), before + r.choice(("data:image/png;base64,", "src=data:image/gif;base64,", "integrity=sha512-", "data:font/woff;base64,"))
         else:  # keys that only look assigned
             value, before = "".join(r.choice(_WORDS).capitalize() for _ in range(r.randint(3, 5))) + str(r.randint(0, 9)), before + r.choice(("class ", "name: ", "id = ", "version=")) + quote
         out.append((value, before, quote + after, path, 0))
@@ -229,8 +259,19 @@ def _walk(text: Column, pattern: str, least: int) -> Column:
 
 def occurrences(text: Column, path: Column, forest: list) -> Column:
     """An array of (value, start, score) of every candidate of a text, each judged where it stands."""
-    found = F.transform(_walk(text, CANDIDATE, 16), lambda c: F.struct(c["match"].alias("value"), c["at"].alias("start"), c["before"].alias("before"), c["after"].alias("after")))
-    described = F.transform(found, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), *(f.cast("double").alias(n) for n, f in features(c["value"], c["before"], c["after"], path).items())))
+    runs = F.transform(_walk(text, CANDIDATE, 16), lambda c: F.struct(c["match"].alias("value"), c["at"].alias("start"), c["before"].alias("before"), c["after"].alias("after")))
+
+    def quoted(c: Column, name: Column) -> Column:
+        return F.struct(
+            F.substring(c["match"], F.length(name) + 1, F.length(c["match"]) - F.length(name) - 1).alias("value"),
+            (c["at"] + F.length(name)).alias("start"),
+            F.substring(F.concat(c["before"], name), -BEFORE, BEFORE).alias("before"),
+            F.substring(F.concat(F.substring(c["match"], -1, 1), c["after"]), 1, AFTER).alias("after"),
+        )
+
+    assigned = F.transform(_walk(text, ASSIGNED, LEAST_ASSIGNED), lambda c: _let(F.regexp_extract(c["match"], "^" + _ASSIGNED_TO + "[\"'`]", 0), lambda name: quoted(c, name)))
+    # a run in quotes that is assigned is found by both, with the same place and context
+    described = F.transform(F.array_distinct(F.concat(runs, assigned)), lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), *(f.cast("double").alias(n) for n, f in features(c["value"], c["before"], c["after"], path).items())))
     return F.transform(described, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), forest_score(forest, lambda n: c[n]).alias("score")))
 
 
@@ -264,13 +305,18 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str =
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", mask: str = MASK) -> DataFrame:
-    """The documents with every secret masked wherever it stands, and n_chars counted again."""
+    """The documents with every secret masked wherever it stands (one under 16 characters not within a longer word), and n_chars counted again."""
     forest = train_forest(findings if findings is not None else findings_table(docs.sparkSession))
     name = fresh(docs, "__secrets")
     secrets = F.filter(scored(F.col("text"), F.col(path), forest), lambda c: c["secret"])
     # longer values first: one may be part of another
     ordered = F.array_sort(F.transform(secrets, lambda c: F.struct((-F.length(c["value"])).alias("order"), c["value"].alias("value"))))
-    text = F.when(F.size(F.col(name)) > 0, F.aggregate(F.col(name), F.col("text"), lambda acc, c: F.replace(acc, c["value"], F.lit(mask)))).otherwise(F.col("text"))
+
+    def masked(acc: Column, c: Column) -> Column:
+        literal = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(c["value"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+        return F.when(F.length(c["value"]) < 16, F.regexp_replace(acc, literal, F.lit(re.sub(r"([\\$])", r"\\\1", mask)))).otherwise(F.replace(acc, c["value"], F.lit(mask)))
+
+    text = F.when(F.size(F.col(name)) > 0, F.aggregate(F.col(name), F.col("text"), masked)).otherwise(F.col("text"))
     out = docs.withColumn(name, ordered).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(F.col(name)) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

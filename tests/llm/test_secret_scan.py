@@ -46,6 +46,23 @@ def test_candidates_and_redaction(spark, edge, nothing):
     assert redact(nothing).count() == 0 == find_secrets(nothing).count()
 
 
+def test_long_digitless_and_assigned_values_are_found_whole(spark):
+    r = random.Random(6)
+    pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    values = {1: pick(letters + "0123456789+/", 1600), 2: pick(letters, 32), 3: "Tr0ub&dor!9x", 4: pick(letters + "0123456789", 200_000)}
+    texts = {i: f'the value password = "{v}" and more' for i, v in values.items()}
+    texts[3] += " Tr0ub&dor!9x and xTr0ub&dor!9x"
+    docs = spark.createDataFrame([(i, t, "src/main.py", 0) for i, t in texts.items()], "doc_id int, text string, source string, n_chars int")
+    rows = {(x["doc_id"], x["start"], x["value"]): x["secret"] for x in find_secrets(docs).collect()}
+    for i, v in values.items():
+        assert (i, texts[i].index(v) + 1, v) in rows
+    out = {x["doc_id"]: x["text"] for x in redact(docs).collect()}
+    for i in (1, 2):
+        assert rows[i, texts[i].index(values[i]) + 1, values[i]] and out[i] == 'the value password = "[secret]" and more'
+    assert rows[3, texts[3].index(values[3]) + 1, values[3]] and out[3] == 'the value password = "[secret]" and more [secret] and xTr0ub&dor!9x'
+
+
 def test_every_occurrence_is_judged_where_it_stands(spark):
     r = random.Random(5)
     a, b, c = ("".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(3))
