@@ -5,7 +5,7 @@ from math import comb
 
 import pytest
 
-from blockquery.llm.quality_rules import FEATURES, RULES, binomial_cdf, certify, features_of, op1_quality_rules, quality_rules, repeat_words, upper_bound
+from blockquery.llm.quality_rules import FEATURES, RULES, STEPS, binomial_cdf, certify, features_of, op1_quality_rules, quality_rules, repeat_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,15 +33,17 @@ def test_exact_binomial():
     for n, k, p in ((10, 3, Fraction(1, 5)), (50, 0, Fraction(1, 20)), (200, 12, Fraction(1, 20)), (5, 5, Fraction(1, 2))):
         exact = float(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
         assert binomial_cdf(k, n, float(p)) == pytest.approx(exact, rel=1e-9)
-    bound = upper_bound(3, 100, 0.05)
-    assert binomial_cdf(3, 100, bound) == pytest.approx(0.05, rel=1e-6) and upper_bound(5, 5, 0.1) == 1.0
+    assert binomial_cdf(7, 7, 0.3) == 1.0
 
 
 def test_certified_in_sequence():
-    cuts = (3.0, 2.0, 1.0, 0.5)
-    assert certify(1000, [0, 1, 2, 500], cuts, 0.01, 0.01) == 1.0
-    assert certify(1000, [0, 400, 0, 0], cuts, 0.01, 0.01) == 3.0  # nothing beyond the first failure
-    assert certify(100, [0, 0, 0, 0], cuts, 0.01, 0.01) is None and certify(0, [0] * 4, cuts, 0.5, 0.5) is None
+    assert certify(1000, [0, 1, 2, 500], 0.01, 0.01) == 2
+    assert certify(1000, [0, 400, 0, 0], 0.01, 0.01) == 0  # nothing beyond the first failure
+    assert certify(100, [0, 0, 0, 0], 0.01, 0.01) is None and certify(0, [0] * 4, 0.5, 0.5) is None
+    # so many good documents, none of them rejected, certify a step at 5 and 5 percent
+    assert certify(59, [0], 0.05, 0.05) == 0 and certify(58, [0], 0.05, 0.05) is None
+    assert certify(86, [0], 0.05, 0.05 / 4) == 0 and certify(85, [0], 0.05, 0.05 / 4) is None
+    assert all(len(cuts) == STEPS and list(cuts) == sorted(cuts, reverse=True) for *_, cuts in RULES.values())
 
 
 def test_false_rejection_is_limited():
@@ -49,7 +51,7 @@ def test_false_rejection_is_limited():
     r, wrong = random.Random(4), 0
     for _ in range(2000):
         k = sum(r.random() < 0.06 for _ in range(300))
-        wrong += certify(300, [k], (1.0,), 0.05, 0.1) is not None
+        wrong += certify(300, [k], 0.05, 0.1) is not None
     assert wrong / 2000 <= 0.1
 
 
@@ -78,6 +80,39 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert {x["failed_rule"] for x in bad} <= set(RULES) | {"base"}
 
 
+def plain_step(text):
+    """Steps of the path that a document passes, by rule."""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n = {"n_words": len(words), "n_lines": len(lines), "n_distinct_words": len(set(words)), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeat_words([w.encode() for w in words])}
+    out = {}
+    for rule, (sign, a, b, cuts) in RULES.items():
+        ratio = sign * n[a] / n[b] if n[b] else 0.0
+        out[rule] = next((i for i, c in enumerate(cuts) if ratio > c), STEPS)
+    return out, n["n_words"] < 50 or 100 * n["n_repeat_words"] > 50 * n["n_words"]
+
+
+def test_steps_by_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r["doc_id"]: (r["lang"], *plain_step(r["text"] or "")) for r in docs.collect()}
+    trials = {}
+    for r in labels.where("quality = 1").collect():
+        lang, steps, base = texts.get(r["doc_id"], (None, None, True))
+        if not base:
+            trials.setdefault(lang, {})[r["doc_id"]] = min(steps.values())
+    certified = {lang: certify(len(t), [sum(v <= i for v in t.values()) for i in range(STEPS)], 0.05, 0.05 / len(trials)) for lang, t in trials.items()}
+    # rows that repeat an id are no further trials
+    got = quality_rules(docs.unionByName(docs.where("lang = 'es'")), labels).collect()
+    assert certified["en"] is not None and {r["lang"]: r["certified_step"] for r in got} == {k: certified.get(k) for k in {t[0] for t in texts.values()}}
+    assert {"base", None} < {r["failed_rule"] for r in got}
+    for r in got:
+        lang, steps, base = texts[r["doc_id"]]
+        step = certified.get(lang)
+        failed = "base" if base else next((rule for rule in RULES if step is not None and steps[rule] <= step), None)
+        assert r["failed_rule"] == failed and r["kept"] == (failed is None)
+
+
 def test_query(spark, small, small_docs):
     rows = op1_quality_rules(spark, small).collect()
     assert len(rows) == len(small_docs)
