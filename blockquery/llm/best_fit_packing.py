@@ -6,7 +6,8 @@ space in one bitset: a piece goes to the fullest open sequence that still takes
 beyond the bound, the fullest closes first.
 
 Null text is empty (a piece of the end id alone). Repeated rows and equal or null ids are separate documents, each packed
-whole. An empty table gives no pieces. Columns beside doc_id and text are not read.
+whole. A very long text is encoded in its task, which holds it and its ids, and cut. An empty table gives no pieces.
+Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -53,6 +54,11 @@ class OpenBins:
             self.count += 1
         return one, self.size - free
 
+    def alone(self) -> tuple[int, int]:
+        """A sequence for a full piece, which needs no open one and closes none."""
+        self.made += 1
+        return self.made - 1, 0
+
     def _take(self, free: int) -> int:
         held = self.by_free[free]
         one = held.pop()
@@ -97,7 +103,7 @@ def pack(pieces: DataFrame, rows: int, sequence: int = SEQUENCE, open_bins: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(sequence, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
+            placed = [bins.alone() if n == sequence else bins.place(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + s for s, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
@@ -111,7 +117,10 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, sequence: int
     rows = pieces.count()
     # written, so that a piece's place does not change if a task runs again
     placed = scratch.write(pack(pieces.drop("ids"), rows, sequence, open_bins), "placed")
-    return (placed.join(pieces.select("row", "ids"), "row") if with_ids else placed).drop("row")
+    if with_ids:
+        return placed.join(pieces.select("row", "ids"), "row").drop("row")
+    scratch.drop("pieces")
+    return placed.drop("row")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,12 @@ def test_streams(spark, streams):
     pieces = token_pieces(docs, default_vocabulary(), 100)
     rows = pack(pieces, 200, 100, stream_pieces=200 // streams).collect()
     check(rows, {i: "w " * (i % 90) for i in range(200)}, 100)
+
+
+def test_full_pieces_close_nothing():
+    bins = OpenBins(100, 4)
+    for n in (60, 61, 62, 63):
+        bins.place(n)
+    for _ in range(50):
+        assert bins.alone()[1] == 0
+    assert bins.count == 4 and bins.place(37) == (3, 63)
