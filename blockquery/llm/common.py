@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import json
 import os
 import re
 import struct
@@ -15,9 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents have these columns; operators keep any others a caller adds.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -28,9 +27,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset one under the working directory."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where unset, one under the working directory, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.abspath(os.path.join("spark-warehouse", "checkpoints"))
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -112,27 +113,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """Words to 64-bit hashes, with a cache that is emptied when full: memory stays bounded on any vocabulary."""
-
-    def __init__(self, limit: int = 1_000_000):
-        import xxhash
-
-        self.hash, self.limit, self.cache = xxhash.xxh3_64_intdigest, limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        try:
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(cache) > self.limit:
-                cache.clear()
-            h = self.hash
-            for w in set(words).difference(cache):
-                cache[w] = h(w)
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def chain_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word windows; order matters."""
     if len(h) < n:
@@ -183,26 +163,53 @@ class _Known(dict):
         return found
 
 
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).hexdigest()
+
+
+#: The normalizer and pre-tokenizer that WordIds knows: lowered, and cut into what _ASCII_PIECES and _LATIN_PIECES find.
+_KNOWN_CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def cuts_are_known(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    return all(said.get(k) == v for k, v in _KNOWN_CUTS.items()) and all(t["content"].startswith("<|") for t in said.get("added_tokens", []))
+
+
 class WordIds:
-    """Token ids of whole texts, as little-endian uint32 bytes, by a tokenizer that never joins across ASCII white space.
+    """Token ids of whole texts, as little-endian uint32 bytes.
 
-    Its pre-tokenizer drops white space, so a text's ids are its words' ids in order; the library encodes a word once. In
-    texts of plain ASCII or Latin letters the pre-tokenizer's own pieces (lowered runs of letters, digits, runs of marks,
-    English contractions) are found here and given to the library's model, which makes far fewer of them distinct. Tests
-    hold this against encoding whole texts.
+    A tokenizer with the cuts of _KNOWN_CUTS never joins across ASCII white space, as it drops white space: a text's ids
+    are its words' ids in order, and the library encodes a word once. In texts of plain ASCII or Latin letters the
+    pre-tokenizer's own pieces (lowered runs of letters, digits, runs of marks, English contractions) are found here and
+    given to the library's model, which makes far fewer of them distinct. Tests hold this against encoding whole texts.
+    Any other tokenizer file is given whole texts.
     """
 
     def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known = Tokenizer.from_file(path), cuts_are_known(path)
         model = self.tokenizer.model
         self.words = _Known(lambda w: self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, limit // 4)
         self.ascii = _Known(lambda p: [x.id for x in model.tokenize(p.decode("ascii"))], limit)
         self.latin = _Known(lambda p: [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(_SHOWN))], limit)
 
     def one(self, text: bytes) -> bytes:
+        if not self.known:
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         if text.isascii():
             if not _NOT_ASCII_PLAIN.search(text):
                 return b"".join(map(self.ascii.__getitem__, _ASCII_PIECES.findall(text.lower())))

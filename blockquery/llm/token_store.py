@@ -3,16 +3,22 @@
 Layout under one root, all parquet, so that Spark's commit protocol covers lost executors:
 
     chunks/     digest binary, n_ids int, payload binary    each distinct chunk once; ids as little-endian uint16 or uint32
-    recipes/    shard int, doc_id, rel_start, n_tokens, root binary, digests array, lengths array    in ascending doc_id order
-    shards/     shard int, base bigint, n_docs, n_tokens, root binary    the manifest
+    recipes/    shard int, place bigint, doc_id, rel_start, n_tokens, root binary, digests array, lengths array    in ascending doc_id order
+    shards/     shard int, base bigint, n_docs, n_tokens, root string    a row for each shard
+    store/      width int, end_id bigint, vocabulary string, n_shards, n_docs, n_tokens, root string    one row
 
 A rolling (gear) hash over the last 16 ids cuts each document's ids into chunks of `least` to `most` ids, so equal
-passages give equal chunks wherever they stand. A document's Merkle root covers its chunk digests, a shard's root its
-documents' roots. Reading verifies every chunk against its digest, every document against its root and every shard
-against the manifest.
+passages give equal chunks wherever they stand.
+
+The hash tree: a document's root is a binary tree over its chunks' digests and lengths; a leaf of its shard is the SHA-256
+of its doc_id, start, length and root; blocks of `BLOCK_DOCS` leaves in order give block hashes, these in order the
+shard's root, and the shards' roots in order, with the width and end id, the store's. `verify_manifest` computes all of it
+anew from the recipes, `read_digests` and `read_documents` verify every chunk against its digest and every document
+against its root. No group that is hashed together grows with the corpus but the list of shards.
 
 Null text is empty: the end id alone. Null ids sort first. Repeated rows and equal ids stay separate documents (their
-order among each other is any). An empty table gives an empty store. Columns beside doc_id and text are not read.
+order among each other is any). A very long text is many chunks, and its recipe one row with 36 bytes for each. An empty
+table gives an empty store. Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_vocabulary, documents, mix, text_bytes, text_slices, word_ids
+from .common import Scratch, default_vocabulary, documents, file_digest, mix, text_bytes, text_slices, word_ids
 
 END_ID = 2
 WINDOW, LEAST, MOST, MASK_BITS = 16, 128, 2048, 9
 #: A range partition of recipes holds about so many documents.
 SHARD_DOCS = 50_000
+#: Documents whose leaves are hashed together.
+BLOCK_DOCS = 1024
 #: Digests that a task remembers to leave out chunks it has already written.
 SEEN = 200_000
 
@@ -64,11 +72,12 @@ def cuts(n: int, own: list[int], least: int = LEAST, most: int = MOST) -> list[i
     return out
 
 
-def merkle(digests: list[bytes]) -> bytes:
-    """Root of a binary hash tree; leaves and inner nodes are told apart by a prefix."""
-    level = [hashlib.sha256(b"\0" + d).digest() for d in digests] or [hashlib.sha256(b"\2").digest()]
+def merkle(digests: list[bytes], lengths: list[int]) -> bytes:
+    """Root of a binary hash tree over chunks; leaves and inner nodes are told apart by a prefix."""
+    sha = hashlib.sha256
+    level = [sha(b"\0" + d + n.to_bytes(8, "little")).digest() for d, n in zip(digests, lengths)] or [sha(b"\2").digest()]
     while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + b"".join(level[i : i + 2])).digest() for i in range(0, len(level), 2)]
+        level = [sha(b"\1" + b"".join(level[i : i + 2])).digest() for i in range(0, len(level), 2)]
     return level[0]
 
 
@@ -105,6 +114,11 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray, tables: np.ndarray) -> np.ndar
     return crc
 
 
+def wide(vocabulary: str) -> bool:
+    """Whether ids need four bytes."""
+    return word_ids(vocabulary).tokenizer.get_vocab_size() > 1 << 16
+
+
 def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Recipes (kind 0) and the chunks they name (kind 1), from one pass of the tokenizer."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -113,15 +127,15 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = word_ids(vocabulary), set()
-        wide = encode.tokenizer.get_vocab_size() > 1 << 16
+        large = wide(vocabulary)
         gear = (mix(np.arange(1, max(encode.tokenizer.get_vocab_size(), end_id + 1) + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
         for batch, texts in text_slices(batches):
             rows, chunks, encoded = [], [], encode(texts)
             ids = np.frombuffer(end.join(encoded) + end, "<u4")
-            stored, found = (ids if wide else ids.astype("<u2")).tobytes(), marks(ids, gear)
+            stored, found = (ids if large else ids.astype("<u2")).tobytes(), marks(ids, gear)
             ends = np.cumsum([len(own) // 4 + 1 for own in encoded])
             split, first = np.searchsorted(found, ends, "right").tolist(), 0
-            found, width, begin = found.tolist(), 4 if wide else 2, 0
+            found, width, begin = found.tolist(), 4 if large else 2, 0
             for stop, last in zip(ends.tolist(), split):
                 digests, lengths, a = [], [], 0
                 for b in cuts(stop - begin, [m - begin for m in found[first:last]]):
@@ -135,7 +149,7 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                         seen.add(digest)
                         chunks.append((digest, b - a, payload))
                     a = b
-                rows.append((stop - begin, merkle(digests), digests, lengths))
+                rows.append((stop - begin, merkle(digests, lengths), digests, lengths))
                 begin, first = stop, last
             n, m = len(rows), len(chunks)
             none = lambda k, t: pa.nulls(k, t)
@@ -171,34 +185,51 @@ def write_store(docs: DataFrame, root: str, vocabulary: str | None = None, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, at = TaskContext.get().partitionId(), 0
+        shard, at, place = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             n = np.array(batch.column(1).to_pylist(), np.int64)
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard), pa.int32()), batch.column(0), pa.array(starts, pa.int64()), *batch.columns[1:]], ["shard", "doc_id", "rel_start", *batch.schema.names[1:]])
+            starts, places = at + np.cumsum(n) - n, place + np.arange(len(n))
+            at, place = at + int(n.sum()), place + len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard), pa.int32()), pa.array(places, pa.int64()), batch.column(0), pa.array(starts, pa.int64()), *batch.columns[1:]], ["shard", "place", "doc_id", "rel_start", *batch.schema.names[1:]])
 
     ordered = recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    written = ordered.mapInArrow(run, f"shard int, doc_id {kind}, rel_start bigint, n_tokens bigint, root binary, digests array<binary>, lengths array<int>")
+    written = ordered.mapInArrow(run, f"shard int, place bigint, doc_id {kind}, rel_start bigint, n_tokens bigint, root binary, digests array<binary>, lengths array<int>")
     written.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/recipes")
-    _manifest(spark.read.parquet(f"{root}/recipes")).write.mode("overwrite").parquet(f"{root}/shards")
+    vocabulary = vocabulary or default_vocabulary()
+    about = (4 if wide(vocabulary) else 2, end_id, file_digest(vocabulary))
+    rows, store = manifest(spark.read.parquet(f"{root}/recipes"), about)
+    spark.createDataFrame(rows, SHARD_ROW).coalesce(1).write.mode("overwrite").parquet(f"{root}/shards")
+    spark.createDataFrame([store], STORE_ROW).coalesce(1).write.mode("overwrite").parquet(f"{root}/store")
     scratch.drop()
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """A row for each shard. The shard's root hashes its documents' roots in order, by a sum that needs no gathering: each root is hashed with its place."""
-    leaf = F.conv(F.substring(F.sha2(F.concat(F.col("root"), F.col("rel_start").cast("string").cast("binary")), 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    by = recipes.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum(leaf).cast("decimal(38,0)").alias("root"))
-    rows = sorted(by.collect())  # a row for each shard: SHARD_DOCS documents each
-    out, base = [], 0
-    for shard, n_docs, n_tokens, root in rows:
-        out.append((shard, base, n_docs, n_tokens, str(root)))
-        base += n_tokens
-    return recipes.sparkSession.createDataFrame(out, "shard int, base bigint, n_docs bigint, n_tokens bigint, root string")
+SHARD_ROW = "shard int, base bigint, n_docs bigint, n_tokens bigint, root string"
+STORE_ROW = "width int, end_id bigint, vocabulary string, n_shards bigint, n_docs bigint, n_tokens bigint, root string"
+
 
+def manifest(recipes: DataFrame, about: tuple[int, int, str]) -> tuple[list[tuple], tuple]:
+    """A row for each shard and the store's own row, hashed from the recipes. about: width, end id and digest of the vocabulary."""
+    leaf = F.sha2(F.concat(F.to_json(F.struct("doc_id", "place", "rel_start", "n_tokens")), F.hex("root")).cast("binary"), 256)
+    hashed = lambda column, order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, column))), lambda x: x[column]), ",").cast("binary"), 256)
+    leaves = recipes.select("shard", F.floor(F.col("place") / BLOCK_DOCS).alias("block"), "place", "n_tokens", leaf.alias("leaf"))
+    blocks = leaves.groupBy("shard", "block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hashed("leaf", "place").alias("own"))
+    shards = blocks.groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hashed("own", "block").alias("root"))
+    rows, base, docs = [], 0, 0
+    for shard, n_docs, n_tokens, root in sorted(shards.collect()):  # a row for each SHARD_DOCS documents
+        rows.append((shard, base, n_docs, n_tokens, root))
+        base, docs = base + n_tokens, docs + n_docs
+    width, end_id, vocabulary = about
+    whole = hashlib.sha256("\n".join([f"{width} {end_id} {vocabulary}", *(f"{shard} {first} {root}" for shard, first, _, _, root in rows)]).encode()).hexdigest()
+    return rows, (width, end_id, vocabulary, len(rows), docs, base, whole)
 
-def verified_chunks(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
+
+def stored_width(spark: SparkSession, root: str) -> int:
+    return spark.read.parquet(f"{root}/store").first()["width"]
+
+
+def verified_chunks(spark: SparkSession, root: str) -> DataFrame:
     """digest, crc (of the ids as uint32) and n_ids of each chunk as stored; a chunk that does not match its digest fails the job."""
+    width = stored_width(spark, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +246,9 @@ def verified_chunks(spark: SparkSession, root: str, width: int = 2) -> DataFrame
     return spark.read.parquet(f"{root}/chunks").select("digest", "payload").mapInArrow(run, "digest binary, crc bigint, n_ids int")
 
 
-def read_digests(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
+def read_digests(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; ids need not move, for checksums combine."""
-    recipes = spark.read.parquet(f"{root}/recipes")
+    recipes = spark.read.parquet(f"{root}/recipes").drop("place")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     tables = _shift_tables()
 
@@ -225,7 +256,7 @@ def read_digests(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
         for batch in batches:
             at, digest, tail, length = [], [], [], []
             for i, (n, own, digests, lengths) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)))):
-                if merkle(digests) != own:
+                if merkle(digests, lengths) != own:
                     raise ValueError("a document's chunk list does not match its root")
                 left = n
                 for d, m in zip(digests, lengths):
@@ -244,7 +275,7 @@ def read_digests(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(crc_shift(crc, tail, tables).astype(np.int64), pa.int64())], ["shard", "doc_id", "rel_start", "n_tokens", "crc"])
 
     exploded = recipes.select("shard", "doc_id", "rel_start", "n_tokens", "root", "digests", "lengths").mapInArrow(parts, f"shard int, doc_id {kind}, rel_start bigint, n_tokens bigint, digest binary, tail bigint, length int")
-    joined = exploded.join(verified_chunks(spark, root, width), "digest", "left").select("shard", "doc_id", "rel_start", "n_tokens", "crc", "n_ids", "length", "tail")
+    joined = exploded.join(verified_chunks(spark, root), "digest", "left").select("shard", "doc_id", "rel_start", "n_tokens", "crc", "n_ids", "length", "tail")
     missing = F.when(F.col("crc").isNull(), F.raise_error(F.lit("a chunk named by a recipe is not in the store"))).otherwise(F.col("crc"))
     crcs = joined.withColumn("crc", missing.cast("bigint")).mapInArrow(moved, f"shard int, doc_id {kind}, rel_start bigint, n_tokens bigint, crc bigint")
     per_doc = crcs.groupBy("shard", "rel_start", "doc_id", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
@@ -254,22 +285,34 @@ def read_digests(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, root: str) -> None:
-    """Fails if any shard's documents do not match the manifest."""
-    now = {tuple(r) for r in _manifest(spark.read.parquet(f"{root}/recipes")).collect()}
-    if now != {tuple(r) for r in spark.read.parquet(f"{root}/shards").collect()}:
+    """Fails if the hash tree over the recipes is not that of the manifest."""
+    said = tuple(spark.read.parquet(f"{root}/store").first())
+    rows, store = manifest(spark.read.parquet(f"{root}/recipes"), said[:3])
+    if store != said or sorted(rows) != sorted(tuple(r) for r in spark.read.parquet(f"{root}/shards").collect()):
         raise ValueError("the recipes do not match the manifest")
 
 
-def read_documents(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
+def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, ids binary (little-endian uint32): whole documents put together again. A document is the largest group gathered."""
-    recipes = spark.read.parquet(f"{root}/recipes").select("shard", "doc_id", "rel_start", F.posexplode("digests").alias("pos", "digest"))
-    joined = recipes.join(spark.read.parquet(f"{root}/chunks").select("digest", "payload"), "digest")
-    gathered = joined.groupBy("shard", "rel_start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
+    width = stored_width(spark, root)
+    recipes = spark.read.parquet(f"{root}/recipes").select("shard", "rel_start", "doc_id", "n_tokens", F.posexplode("digests").alias("pos", "digest"))
+    joined = recipes.join(spark.read.parquet(f"{root}/chunks").select("digest", "payload"), "digest", "left")
+    gathered = joined.groupBy("shard", "rel_start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "payload"))).alias("parts"))
     kind = dict(recipes.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), f"<u{width}").astype("<u4").tobytes() for parts in batch.column(3).to_pylist()]
+            ids = []
+            for n, parts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                for p in parts:
+                    if p["payload"] is None:
+                        raise ValueError("a chunk named by a recipe is not in the store")
+                    if hashlib.sha256(p["payload"]).digest() != p["digest"]:
+                        raise ValueError(f"chunk {p['digest'].hex()} does not match its digest")
+                own = np.frombuffer(b"".join(p["payload"] for p in parts), f"<u{width}").astype("<u4").tobytes()
+                if len(own) != 4 * n:
+                    raise ValueError("a document's chunks do not add up to its length")
+                ids.append(own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["shard", "rel_start", "doc_id", "ids"])
 
     whole = gathered.mapInArrow(run, f"shard int, rel_start bigint, doc_id {kind}, ids binary")

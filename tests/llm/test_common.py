@@ -1,10 +1,11 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from blockquery.llm.common import Scratch, WordHashes, bucket_of, chain_hash, default_vocabulary, fresh, text_slices, word_ids
+from blockquery.llm.common import Scratch, bucket_of, chain_hash, default_vocabulary, fresh, shared_dir, text_slices, word_ids
 from pyspark.sql import functions as F
 
 
@@ -41,13 +42,26 @@ def test_names_and_scratch(spark):
     s.drop()
 
 
-def test_hashes():
-    h = WordHashes(limit=3)
-    a = h([b"a", b"b", b"c", b"d", b"a"])
-    assert a[0] == a[4] and len(set(a.tolist())) == 4 and (h([b"a", b"b", b"c", b"d", b"a"]) == a).all()
+def test_windows():
+    a = np.array([3, 1, 4, 1, 5], np.uint64)
     assert len(chain_hash(a, 6)) == 0 and len(chain_hash(a, 5)) == 1 and chain_hash(a, 2)[0] != chain_hash(a[::-1].copy(), 2)[-1]
 
 
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    session = type("Session", (), {"sparkContext": Context()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
 def test_registered(name):
     import __spark_entry__ as entry

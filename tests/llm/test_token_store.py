@@ -62,7 +62,7 @@ def test_damage_is_found(spark, small_docs, what):
     write_store(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), root)
     table = "recipes" if what in ("order", "manifest") else "chunks"
     df = spark.read.parquet(f"{root}/{table}")
-    bad = {"payload": lambda: df.selectExpr("digest", "n_ids", "unhex(concat('00', substring(hex(payload), 3))) AS payload"), "missing": lambda: df.limit(df.count() - 1), "order": lambda: df.selectExpr("shard", "doc_id", "rel_start", "n_tokens", "root", "reverse(digests) AS digests", "lengths"), "manifest": lambda: df.selectExpr("shard", "doc_id", "rel_start", "n_tokens + 1 AS n_tokens", "root", "digests", "lengths")}[what]()
+    bad = {"payload": lambda: df.selectExpr("digest", "n_ids", "unhex(concat('00', substring(hex(payload), 3))) AS payload"), "missing": lambda: df.limit(df.count() - 1), "order": lambda: df.selectExpr("shard", "doc_id", "rel_start", "n_tokens", "root", "reverse(digests) AS digests", "lengths"), "manifest": lambda: df.selectExpr("shard", "place", "doc_id", "rel_start", "n_tokens + 1 AS n_tokens", "root", "digests", "lengths")}[what]()
     rows, schema = bad.collect(), bad.schema
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{root}/{table}")
     with pytest.raises(Exception, match="match|not in the store|add up"):
@@ -72,6 +72,55 @@ def test_damage_is_found(spark, small_docs, what):
             read_digests(spark, root).collect()
 
 
+@pytest.mark.parametrize("what", ["ids", "starts", "lengths", "rows", "width", "end", "shards"])
+def test_the_tree_covers(spark, small_docs, what):
+    docs = {i: small_docs[i] for i in sorted(small_docs)[:40]}
+    root = Scratch(spark, "t").root
+    write_store(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), root, shard_docs=11)
+    verify_manifest(spark, root)
+    table = {"width": "store", "end": "store", "shards": "shards"}.get(what, "recipes")
+    df = spark.read.parquet(f"{root}/{table}")
+    rows = [r.asDict() for r in df.collect()]
+    if what == "ids":
+        rows[3]["doc_id"], rows[4]["doc_id"] = rows[4]["doc_id"], rows[3]["doc_id"]
+    elif what == "starts":
+        for r in rows:
+            r["rel_start"] += 7
+    elif what == "lengths":
+        rows[5]["lengths"] = [rows[5]["lengths"][0] + 1, *rows[5]["lengths"][1:]]
+    elif what == "rows":
+        rows.pop()
+    elif what == "width":
+        rows[0]["width"] = 4
+    elif what == "end":
+        rows[0]["end_id"] = 5
+    else:
+        rows[0]["base"] += 1
+    spark.createDataFrame(rows, df.schema).write.mode("overwrite").parquet(f"{root}/{table}")
+    with pytest.raises(Exception, match="match"):
+        verify_manifest(spark, root)
+        read_digests(spark, root).collect()
+
+
+def test_wide_vocabulary(spark, tmp_path):
+    import json
+
+    said = json.load(open(default_vocabulary(), encoding="utf-8"))
+    said["model"]["vocab"] |= {f"unused{i}": len(said["model"]["vocab"]) + 10 + i for i in range(20_000)}
+    said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"  # other cuts than those known
+    path = f"{tmp_path}/other.json"
+    json.dump(said, open(path, "w", encoding="utf-8"))
+    texts = ["a1b2 don't 12345", "", "Ünïcode 漢字 x", "the the the " * 400]
+    root = Scratch(spark, "t").root
+    write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), root, path)
+    verify_manifest(spark, root)
+    t = Tokenizer.from_file(path)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in read_documents(spark, root).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+    assert spark.read.parquet(f"{root}/store").first()["width"] == 4
+    assert {r["doc_id"]: r["ids_crc32"] for r in read_digests(spark, root).collect()} == {i: crc(x) for i, x in got.items()}
+
+
 def test_cuts_and_roots():
     r = random.Random(1)
     for _ in range(300):
@@ -79,7 +128,7 @@ def test_cuts_and_roots():
         ends = cuts(n, sorted(r.sample(range(1, n + 1), min(n, r.randint(0, 40)))))
         sizes = np.diff([0, *ends])
         assert ends[-1] == n and (sizes > 0).all() and (sizes <= MOST).all() and (sizes[:-1] >= min(LEAST, MOST)).all()
-    assert len({merkle([b"a", b"b"]), merkle([b"b", b"a"]), merkle([b"ab"]), merkle([]), merkle([b"a", b"b", b"b"])}) == 5
+    assert len({merkle([b"a", b"b"], [1, 1]), merkle([b"a", b"b"], [1, 2]), merkle([b"b", b"a"], [1, 1]), merkle([b"ab"], [2]), merkle([], []), merkle([b"a", b"b", b"b"], [1, 1, 1])}) == 6
     tables = _shift_tables()
     a, b = b"some bytes", b"more of them, and a few others"
     assert int(crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]), tables)[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
