@@ -1,17 +1,25 @@
-"""Quality classifier: a linear-chain conditional random field over the lines of a document.
-
-Every line is labelled good or bad. A line's features are its own (length, shares of symbols, digits and capitals, repeated
-and distinct words, ...) and some of the line before and after it; transition weights tie neighbours. Forward-backward gives
-each line's marginal of being good, and a document's score is their mean weighted by the lines' length in bytes.
-
-Labels are by document, so each line of a labelled document carries its label in training (weak labels). The model is
-fitted in the driver on a bounded sample: at most `SAMPLE_DOCS` labelled documents in the order of a seeded hash, of at most
-`SAMPLE_LINES` lines each. Scoring is one pass over whole texts.
-
-Null text is one empty line, as is empty text; every text has a score. Labels that are null count as none, those that
-disagree for one id count as the smaller. A null id has no label and is not held out. Repeated rows get equal scores.
-Without labels of both kinds nothing can be learned: every score is then the share of good documents among the labelled
-ones, or 1 where there are none. An empty table gives an empty result. lang, source, labels and ids are never features.
+"""Quality classifier: a hidden linear-chain conditional random field over the lines of a document.
+
+Every line has a hidden label, good or bad. A line's features are its own (length, shares of symbols, digits and capitals,
+repeated and distinct words, ...) and some of the line before and after it; transition weights tie neighbours.
+Forward-backward gives each line's marginal of being good, and a document's score is their mean weighted by the lines'
+length in bytes: the probability that a byte of it lies in a good line.
+
+Labels are by document, so the lines' labels are summed out in training: the likelihood of "good" is the score, that of
+"bad" is 1 - score, over all labellings of the lines. A good document may thus hold bad lines, and the other way round. So
+that transitions see labels change, the sample is doubled by mixed sequences: a run of lines of a document of one label
+inside one of the other, where each part has its own likelihood. The gradient of a marginal is a covariance under the
+field; both it and the pairs' are had as the directional derivative of forward-backward, by central differences.
+
+The model is fitted in the driver on a bounded sample: at most `SAMPLE_DOCS` labelled documents in the order of a seeded
+hash, of at most `SAMPLE_LINES` lines each, and as many mixed sequences. Scoring is one pass over whole texts.
+
+Null text is one empty line, as is empty text; every text has a score. A very long text is scored in its task as a whole,
+which holds some 300 bytes for each of its lines. Labels that are null count as none, those that disagree for one id count
+as the smaller. A null id has no label and is not held out. Repeated rows get equal scores; a score that ties with the
+threshold is accepted. Without labels of both kinds nothing can be learned: every score is then the share of good documents
+among the labelled ones, or 1 where there are none. An empty table gives an empty result. lang, source, labels and ids are
+never features.
 """
 
 from __future__ import annotations
@@ -80,8 +88,8 @@ def _line(line: bytes, seen: set[bytes], before: bytes) -> tuple[float, ...]:
     )
 
 
-def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x WIDTH) and lengths of a text's lines."""
+def own_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's own features (lines x OWN) and length."""
     lines = text.split(b"\n")
     seen: set[bytes] = set()
     own, before = np.zeros((len(lines), OWN), np.float32), b""
@@ -89,7 +97,13 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         own[i] = _line(line, seen, before)
         seen.add(line)
         before = line
-    return _with_neighbours(own), np.array([len(x) + 1 for x in lines], np.float64)
+    return own, np.array([len(x) + 1 for x in lines], np.float64)
+
+
+def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features (lines x WIDTH) and lengths of a text's lines."""
+    own, lengths = own_features(text)
+    return _with_neighbours(own), lengths
 
 
 def _with_neighbours(own: np.ndarray) -> np.ndarray:
@@ -120,75 +134,131 @@ class Field:
         return ((x - self.mean) / self.scale) @ self.weights
 
 
-def forward_backward(u: np.ndarray, n: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """u: log-odds (documents x steps), n: steps of each, most first. Gives the logarithms alpha, beta (documents x steps x 2), log Z and P(good)."""
-    docs, steps = u.shape
-    alpha, beta = np.zeros((docs, steps, 2)), np.zeros((docs, steps, 2))
-    active = np.searchsorted(-n, -np.arange(steps), side="left")  # how many have more than t steps
-    alpha[:, 0, 1] = u[:, 0]
-    for t in range(1, steps):
+def _messages(u: np.ndarray, active: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of good of each line by what comes before it and itself, and by what comes after it; the logarithm of the weight of "bad" so far. All are steps x documents, and active[t] documents have more than t steps."""
+    forward, backward, bad = np.zeros_like(u), np.zeros_like(u), np.zeros_like(u)
+    if len(u):
+        forward[0] = u[0]
+    for t in range(1, len(u)):
         k = active[t]
-        last = alpha[:k, t - 1]
-        alpha[:k, t, 0] = np.logaddexp(last[:, 0] + a[0, 0], last[:, 1] + a[1, 0])
-        alpha[:k, t, 1] = np.logaddexp(last[:, 0] + a[0, 1], last[:, 1] + a[1, 1]) + u[:k, t]
-    for t in range(steps - 2, -1, -1):
+        last = forward[t - 1, :k]
+        to_bad = np.logaddexp(a[0, 0], last + a[1, 0])
+        forward[t, :k] = u[t, :k] + np.logaddexp(a[0, 1], last + a[1, 1]) - to_bad
+        bad[t, :k] = bad[t - 1, :k] + to_bad
+    for t in range(len(u) - 2, -1, -1):
         k = active[t + 1]
-        bad, good = beta[:k, t + 1, 0], beta[:k, t + 1, 1] + u[:k, t + 1]
-        beta[:k, t, 0] = np.logaddexp(a[0, 0] + bad, a[0, 1] + good)
-        beta[:k, t, 1] = np.logaddexp(a[1, 0] + bad, a[1, 1] + good)
-    end = alpha[np.arange(docs), n - 1]
-    log_z = np.logaddexp(end[:, 0], end[:, 1])
-    good = np.exp(np.minimum(0.0, alpha[:, :, 1] + beta[:, :, 1] - log_z[:, None]))
-    return alpha, beta, log_z, good
-
-
-def fit(texts: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """Conditional likelihood by full-batch Adam; documents are (features, label) and weigh alike whatever their length."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i][0]))
-    n = np.array([len(texts[i][0]) for i in order])
-    y = np.array([texts[i][1] for i in order], float)
-    x = np.concatenate([texts[i][0] for i in order]).astype(np.float64)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+        later = backward[t + 1, :k] + u[t + 1, :k]
+        backward[t, :k] = np.logaddexp(a[1, 0], a[1, 1] + later) - np.logaddexp(a[0, 0], a[0, 1] + later)
+    return forward, backward, bad
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * x))
+
+
+def forward_backward(u: np.ndarray, n: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """u: log-odds (documents x steps), n: steps of each, most first. Gives the messages forward and backward (documents x steps), log Z and P(good)."""
+    docs, steps = u.shape
+    forward, backward, bad = _messages(np.ascontiguousarray(u.T), np.searchsorted(-n, -np.arange(steps), side="left"), a)
+    end = (n - 1, np.arange(docs))
+    return forward.T, backward.T, bad[end] + np.logaddexp(0.0, forward[end]), _sigmoid(forward + backward).T
+
+
+class _Sequences:
+    """Training sequences as one grid of steps x documents, longest first."""
+
+    def __init__(self, texts: list[tuple]):
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i][0]))
+        self.n = np.array([len(texts[i][0]) for i in order])
+        self.x = np.concatenate([texts[i][0] for i in order]).astype(np.float64)
+        self.y = np.concatenate([np.broadcast_to(np.asarray(texts[i][1], float), len(texts[i][0])) for i in order])
+        self.weight = np.concatenate([np.asarray(texts[i][2], float) if len(texts[i]) > 2 else np.ones(len(texts[i][0])) for i in order])
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.step = np.arange(len(self.x)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.weight /= np.bincount(self.doc, self.weight)[self.doc]
+        self.active = np.searchsorted(-self.n, -np.arange(int(self.n[0])), side="left")
+        self.inner = np.flatnonzero(self.step > 0)
+        # a document's lines of one label are one part: its label is that of a byte of it
+        self.part = 2 * self.doc + (self.y > 0.5)
+
+    def grid(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((int(self.n[0]), len(self.n)))
+        out[self.step, self.doc] = values
+        return out
+
+    def expectations(self, u: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of the lines and probabilities of pairs (inner lines x before x after)."""
+        forward, backward, _ = _messages(self.grid(u), self.active, a)
+        at = (self.step, self.doc)
+        line = _sigmoid((forward + backward)[at])
+        before, after = forward[self.step[self.inner] - 1, self.doc[self.inner]], backward[self.step[self.inner], self.doc[self.inner]] + u[self.inner]
+        log = np.stack([np.zeros_like(before) + a[0, 0], after + a[0, 1], before + a[1, 0], before + after + a[1, 1]], axis=1)
+        log -= log.max(axis=1, keepdims=True)
+        pair = np.exp(log)
+        return line, pair / pair.sum(axis=1, keepdims=True)
+
+    def gradient(self, u: np.ndarray, a: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean negative log-likelihood, and its gradients by the lines' log-odds and by the transitions."""
+        line, _ = self.expectations(u, a)
+        right = np.where(self.y > 0.5, line, 1 - line)
+        size = np.bincount(self.part, self.weight, 2 * len(self.n))
+        share = np.bincount(self.part, self.weight * right, 2 * len(self.n)) / np.maximum(size, 1e-300)
+        share = np.clip(share, 1e-6, 1.0)
+        loss = -(size * np.log(share)).sum() / len(self.n)
+        # of the loss by each line's marginal; then the derivative of all expectations in this direction
+        way = -self.weight * np.where(self.y > 0.5, 1.0, -1.0) / share[self.part] / len(self.n)
+        reach = np.zeros(len(self.n))
+        np.maximum.at(reach, self.doc, np.abs(way))
+        h = 1e-3 / np.maximum(reach, 1e-300)
+        (up_line, up_pair), (down_line, down_pair) = (self.expectations(u + s * h[self.doc] * way, a) for s in (1, -1))
+        by_line = (up_line - down_line) / (2 * h[self.doc])
+        by_pair = ((up_pair - down_pair) / (2 * h[self.doc[self.inner]])[:, None]).sum(axis=0).reshape(2, 2)
+        return loss, by_line, by_pair
+
+
+def fit(texts: list[tuple], steps: int = 150, rate: float = 0.1, ridge: float = 1e-4, ridge_transitions: float = 1e-3) -> Field:
+    """Likelihood of the labels by full-batch Adam. texts: (features, label or labels of the lines, and if given weights of the lines); documents weigh alike whatever their length."""
+    own = _Sequences(texts)
+    mean, scale = own.x.mean(axis=0), own.x.std(axis=0)
     mean[-1], scale[scale < 1e-6] = 0.0, 1.0
-    x = (x - mean) / scale
-    doc = np.repeat(np.arange(len(n)), n)
-    step = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-    share = 1.0 / len(n)
-    inner = step > 0
-    # what a document adds is averaged over its lines, or a long one would outweigh all others
-    line_weight = np.repeat(share / np.sqrt(n), n)
-    w, a = np.zeros(x.shape[1]), np.zeros((2, 2))
-    m = [np.zeros_like(w), np.zeros_like(a)]
-    v = [np.zeros_like(w), np.zeros_like(a)]
-    u = np.zeros((len(n), int(n[0])))
-    at, before = (doc[inner], step[inner]), (doc[inner], step[inner] - 1)
-    edge_weight = line_weight[inner]
-    target = y[doc]
+    x = (own.x - mean) / scale
+    value = [np.zeros(x.shape[1]), np.zeros((2, 2))]
+    m, v = [np.zeros_like(g) for g in value], [np.zeros_like(g) for g in value]
     for i in range(1, steps + 1):
-        u[doc, step] = x @ w
-        alpha, beta, log_z, good = forward_backward(u, n, a)
-        grad_w = x.T @ ((good[doc, step] - target) * line_weight) + ridge * w
-        grad_a = np.zeros((2, 2))
-        z = log_z[doc[inner]]
-        for p in range(2):
-            for q in range(2):
-                pair = np.exp(np.minimum(0.0, alpha[(*before, p)] + a[p, q] + (u[at] if q else 0.0) + beta[(*at, q)] - z))
-                grad_a[p, q] = ((pair - ((target[inner] == p) if p == q else 0.0)) * edge_weight).sum() + ridge * a[p, q]
-        for k, (value, grad) in enumerate(((w, grad_w), (a, grad_a))):
+        _, by_line, by_pair = own.gradient(x @ value[0], value[1])
+        for k, grad in enumerate((x.T @ by_line + ridge * value[0], by_pair + ridge_transitions * value[1])):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.99 * v[k] + 0.01 * grad**2
-            value -= rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)
-    return Field(mean, scale, w, a)
+            value[k] = value[k] - rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)
+    return Field(mean, scale, *value)
+
+
+def mixed_sequences(sample: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 17) -> list[tuple]:
+    """For each document of the sample (own features, lengths, label) a run of its lines inside a document of the other label, as (features, labels, lengths)."""
+    r = np.random.default_rng(seed)
+    by = [[d for d in sample if d[2] == q] for q in (0, 1)]
+    out = []
+    for own, length, q in sample:
+        other, other_length, _ = by[1 - q][int(r.integers(len(by[1 - q])))]
+        most = min(len(own), 8)
+        take = int(r.integers(1, most + 1))
+        first, at = int(r.integers(0, len(own) - take + 1)), int(r.integers(0, len(other) + 1))
+        join = lambda a, b: np.concatenate([a[:at], b[first : first + take], a[at:]])  # noqa: B023, E731
+        labels = np.full(len(other) + take, 1 - q)
+        labels[at : at + take] = q
+        out.append((_with_neighbours(join(other, own)), labels, join(other_length, length)))
+    return out
 
 
-def scores(field: Field, texts: list[bytes]) -> list[float]:
+def line_marginals(field: Field, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the probability of each of its lines to be good, and the lines' lengths."""
     described = [line_features(t) for t in texts]
     if not described:
         return []
     n = np.array([len(w) for _, w in described])
     ends = np.cumsum(n)
     u = field.emissions(np.concatenate([x for x, _ in described]))
-    out = np.zeros(len(texts))
+    out: list = [None] * len(texts)
     size = np.frexp(n)[1]  # documents of like numbers of lines go together
     for s in np.unique(size):
         own = np.flatnonzero(size == s)
@@ -196,20 +266,25 @@ def scores(field: Field, texts: list[bytes]) -> list[float]:
         for part in np.array_split(own, max(1, int(n[own].sum()) // 200_000)):
             if not len(part):
                 continue
-            grid, weight = np.zeros((len(part), int(n[part[0]]))), np.zeros((len(part), int(n[part[0]])))
-            for row, i in enumerate(part):
-                grid[row, : n[i]] = u[ends[i] - n[i] : ends[i]]
-                weight[row, : n[i]] = described[i][1]
-            good = forward_backward(grid, n[part], field.transitions)[3]
-            out[part] = (good * weight).sum(axis=1) / weight.sum(axis=1)
-    return np.clip(out, 0.0, 1.0).tolist()
+            grid = np.zeros((int(n[part[0]]), len(part)))
+            for column, i in enumerate(part):
+                grid[: n[i], column] = u[ends[i] - n[i] : ends[i]]
+            forward, backward, _ = _messages(grid, np.searchsorted(-n[part], -np.arange(len(grid)), side="left"), field.transitions)
+            good = _sigmoid(forward + backward)
+            for column, i in enumerate(part):
+                out[i] = (good[: n[i], column], described[i][1])
+    return out
+
+
+def scores(field: Field, texts: list[bytes]) -> list[float]:
+    return [min(1.0, max(0.0, float((good * length).sum() / length.sum()))) for good, length in line_marginals(field, texts)]
 
 
 # --- Spark ---------------------------------------------------------------------------------------
 
 
-def training_sample(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, int]]:
-    """At most `most` labelled documents outside the held-out fold, as (features, label)."""
+def training_sample(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """At most `most` labelled documents outside the held-out fold, as (own features of the lines, their lengths, label)."""
     known = labelled.where(F.col("quality").isin(0, 1) & (bucket_of("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
     rows = docs.join(F.broadcast(chosen), "doc_id")  # at most `most` rows
@@ -217,21 +292,22 @@ def training_sample(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE_DOC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             kept = [(q, t) for q, t in zip(batch.column(0).to_pylist(), texts) if t.count(b"\n") < SAMPLE_LINES]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in kept], pa.int32()), pa.array([line_features(t)[0].tobytes() for _, t in kept], pa.binary())], ["quality", "features"])
+            lines = [own_features(t) for _, t in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in kept], pa.int32()), *(pa.array([x[k].tobytes() for x in lines], pa.binary()) for k in (0, 1))], ["quality", "features", "lengths"])
 
-    found = text_bytes(rows.withColumn("quality", F.col("quality").cast("int")), "quality").mapInArrow(run, "quality int, features binary")
+    found = text_bytes(rows.withColumn("quality", F.col("quality").cast("int")), "quality").mapInArrow(run, "quality int, features binary, lengths binary")
     # repeated rows of a labelled id could pass the bound; the order makes the sample the same in every run
-    got = found.orderBy(F.xxhash64("features"), "quality").limit(most).collect()
-    return [(np.frombuffer(r["features"], np.float32).reshape(-1, WIDTH), r["quality"]) for r in got]
+    got = found.orderBy(F.xxhash64("features", "lengths"), "quality").limit(most).collect()
+    return [(np.frombuffer(r["features"], np.float32).reshape(-1, OWN), np.frombuffer(r["lengths"], np.float64), r["quality"]) for r in got]
 
 
 def learn(docs: DataFrame, labelled: DataFrame) -> Field | float:
     """The field, or where both kinds of label are not there the score of every document."""
     sample = training_sample(docs, labelled)
-    good = sum(q for _, q in sample)
+    good = sum(q for *_, q in sample)
     if not sample or good in (0, len(sample)):
         return good / len(sample) if sample else 1.0
-    return fit(sample)
+    return fit([(_with_neighbours(own), q, length) for own, length, q in sample] + mixed_sequences(sample))
 
 
 def score_documents(docs: DataFrame, model: Field | float, name: str = "score") -> DataFrame:

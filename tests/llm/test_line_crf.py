@@ -1,10 +1,11 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 
 from blockquery.llm import line_crf
-from blockquery.llm.line_crf import WIDTH, classify, fit, forward_backward, keep_good, line_features, op3_line_crf, scores
+from blockquery.llm.line_crf import WIDTH, _Sequences, classify, fit, forward_backward, keep_good, line_features, line_marginals, mixed_sequences, op3_line_crf, own_features, scores
 
 from .conftest import PROSE
 
@@ -60,6 +61,62 @@ def test_learns_and_weighs_by_length():
     assert scores(model, [mixed])[0] > 0.5
 
 
+def enumerated(model, text):
+    """The score of a text, by all labellings of its lines."""
+    x, length = line_features(text)
+    u, a = ((x.astype(float) - model.mean) / model.scale) @ model.weights, model.transitions
+    z = good = 0.0
+    for y in itertools.product((0, 1), repeat=len(u)):
+        w = np.exp(sum(v for v, q in zip(u, y) if q) + sum(a[p, q] for p, q in zip(y, y[1:])))
+        z, good = z + w, good + w * sum(n for n, q in zip(length, y) if q) / length.sum()
+    return good / z
+
+
+def test_scores_by_enumeration():
+    model = fit([(line_features(t.encode())[0], y) for _, t, y in corpus(60, 8)], steps=12)
+    texts = [t.encode() for _, t, _ in corpus(40, 9) if t.count("\n") < 9] + [b"", b"\n\n", PROSE.encode() + b"\n#$%"]
+    assert np.allclose(scores(model, texts), [enumerated(model, t) for t in texts])
+
+
+def test_gradients_by_differences():
+    r = np.random.default_rng(3)
+    texts = [(r.normal(size=(n, 4)), y, r.uniform(1, 9, n)) for n, y in ((5, 1), (1, 0), (3, np.array([0, 1, 1])), (5, np.array([1, 0, 0, 1, 0])))]
+    own = _Sequences(texts)
+    w, a = r.normal(size=4), r.normal(size=(2, 2))
+    _, by_line, by_pair = own.gradient(own.x @ w, a)
+    loss = lambda w, a: own.gradient(own.x @ w, a)[0]
+    for k in range(4):
+        e = np.eye(4)[k] * 1e-6
+        assert np.isclose((own.x.T @ by_line)[k], (loss(w + e, a) - loss(w - e, a)) / 2e-6, atol=1e-5)
+    for p, q in itertools.product((0, 1), repeat=2):
+        e = np.zeros((2, 2))
+        e[p, q] = 1e-6
+        assert np.isclose(by_pair[p, q], (loss(w, a + e) - loss(w, a - e)) / 2e-6, atol=1e-5)
+
+
+def test_lines_of_mixed_documents(spark):
+    """Junk planted in good documents is found line by line, and prose in bad ones."""
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    sample = [(*own_features(texts[i]), quality[i]) for i in quality if not held(i)]
+    model = fit([(line_crf._with_neighbours(x), y, n) for x, n, y in sample] + mixed_sequences(sample))
+    good = [texts[i].split(b"\n") for i in quality if held(i) and quality[i] and texts[i].count(b"\n") > 3]
+    # lines of bad documents that are bad themselves: every other word in marks or capitals
+    junk = [[x for x in texts[i].split(b"\n") if sum(w != w.lower() or not w.isalpha() for w in x.split()) * 2 > len(x.split()) > 3] for i in quality if held(i) and not quality[i]]
+    junk = [x for x in junk if len(x) > 1]
+    r, right, total, both = random.Random(1), 0, 0, 0
+    for _ in range(200):
+        own, block = r.choice(good), r.choice(junk)[: r.randint(2, 5)]
+        at = r.randint(1, len(own) - 1)
+        (found, _), = line_marginals(model, [b"\n".join(own[:at] + block + own[at:])])
+        want = [1] * at + [0] * len(block) + [1] * (len(own) - at)
+        right, total = right + sum((p >= 0.5) == q for p, q in zip(found, want)), total + len(want)
+        both += found.min() < 0.5 <= found.max()
+    assert len(good) > 20 and len(junk) > 5 and right >= 0.9 * total and both >= 190
+
+
 def test_edge_cases(spark, edge, nothing):
     labels = spark.createDataFrame([(5, 1), (8, 0), (6, 1), (6, 0), (4, None), (None, 1), (12, 0), (10, 0), (7, 1)], "doc_id bigint, quality int")
     rows = classify(edge, labels).collect()
