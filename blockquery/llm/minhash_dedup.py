@@ -18,8 +18,10 @@ connected or has been refuted, and a group of m copies costs about m verificatio
 pointer jumping. Everything stays distributed; nothing about documents reaches the driver but counts.
 
 A document without words, or null, has no shingles and is linked with nothing. A null id is linked with nothing, its
-component is null and it is kept. Rows that repeat an id are one document for linking. An empty table gives an empty
-result. Columns beside doc_id and text are not read.
+component is null and it is kept. Rows that repeat an id are one document for linking, by the least of their sets;
+`keep_one` keeps the one with the least text of them (null first), and the least in all columns where texts tie. Of equal
+sets the smallest id stays. A very long text is shingled in its task as a whole: 8 bytes for each word and each distinct
+shingle. An empty table gives an empty result. `link_documents` reads doc_id and text only; `keep_one` returns every column.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import GOLD, Scratch, chain_hash, documents, mix, text_bytes, text_slices
 
-#: Words of a shingle; the query's contract has four.
+#: Words of a shingle. Near-duplicate stages take five unless a contract says otherwise; the query's contract says four.
 SHINGLE, QUERY_SHINGLE = 5, 4
 NUMERATOR, DENOMINATOR = 80, 100
 BANDS, ROWS = 30, 5
@@ -197,8 +199,10 @@ def link_documents(docs: DataFrame, words: int = SHINGLE, numerator: int = NUMER
     # copies meet before anything else; the aggregate runs in part before the shuffle
     classes = scratch.write(alive.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     exploded = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = exploded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
+    # written, so that both sides of a join by bucket are plain shuffles: Spark then splits a bucket that holds many rows
+    shared = scratch.write(exploded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"), "shared")
     members = scratch.write(exploded.join(shared, "key"), "members")
+    scratch.drop("shared")
     rounds = Scratch(docs.sparkSession, "minhash-rounds")
     component = scratch.write(_link_members(docs, classes, members, rounds, words, numerator, denominator), "component")
     rounds.drop()
@@ -233,6 +237,7 @@ def _link_members(docs: DataFrame, classes: DataFrame, members: DataFrame, scrat
         # buckets that hold several components, and the largest of these
         counts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
         mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"), (F.sum("size") - F.max("size")).alias("outside")).where("kinds > 1")
+        mixed = scratch.write(mixed, f"mixed-{turn}")
         # about so many pivots among the nodes outside the main component; ever more, so that rounds stay few
         slots = SLOTS << 2 * (turn - 2)
         drawn = F.pmod(F.xxhash64("key", "node"), F.greatest(F.lit(1), F.floor(F.col("outside") / slots))) == 0
@@ -269,7 +274,9 @@ def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     if linked.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    order = F.struct(F.col("text"), F.to_json(F.struct(*docs.columns)))
+    first = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return first.unionByName(out.where("doc_id IS NULL"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,12 @@ def test_other_parameters(spark, words):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "z y x")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in link_documents(docs, words=words, numerator=70).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_rows_that_repeat_an_id_leave_the_least_text(spark):
+    rows = [(1, "b " * 30, 2), (1, "a " * 30, 1), (1, "a " * 30, 0), (2, "some other words " * 9, 5), (None, "x y z", 1), (None, "x y z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node int")
+    for n in (1, 4):
+        got = keep_one(docs.repartition(n))
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"], r["node"]) for r in got.collect()) == [(0, "x y z", 1), (0, "x y z", 1), (1, "a " * 30, 0), (2, "some other words " * 9, 5)]
