@@ -13,7 +13,12 @@ what they hold is their own texts, the operating system keeps the pages.
 with a start mark as first context and an end token after every document. The order is two: a corpus of varied words has
 about 0.8 distinct trigrams for each word, which would take more disk than it may use; README has the figures.
 
-Null text is empty: its end token alone. A null id is held out, as it cannot be placed in a fold. Repeated rows are counted
+How many shards there are follows from the bytes of the texts, and runs of words have a fixed length, so that no task holds
+more on a larger corpus; the session's shuffle partitions have no say. The driver holds two numbers for each shard. A
+vocabulary of 2**32 words or more is an error: bigrams are pairs of 32-bit numbers.
+
+Null text is empty: its end token alone. A very long text is counted and scored by its task as a whole, some 40 bytes for
+each word. A null id is held out, as it cannot be placed in a fold. Repeated rows are counted
 and scored each on their own. With nothing to learn from, every probability is 1 / (V + 1) with V = 0. An empty table gives
 an empty result. Columns beside doc_id and text are not read.
 """
@@ -23,6 +28,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -37,6 +43,8 @@ FOLDS, HELD_OUT = 10, 0
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000002)
 #: Text that a task counts at once.
 TOGETHER = 32 << 20
+#: Keys and counts of one shard, before they are merged, and shards that one task merges in turn.
+SHARD_BYTES, TASK_SHARDS = 8 << 20, 4
 #: Words whose surroundings one task adds up; what reaches it from all shards is some 20 MB on a corpus of any size.
 GROUP_WORDS = 1 << 16
 _FULL = 255  # counts from here on are in the overflow
@@ -61,9 +69,11 @@ def put(uri: str, arrays: list[np.ndarray]) -> None:
 
         system, path = fs.FileSystem.from_uri(uri)
         system.create_dir(os.path.dirname(path))
-        with system.open_output_stream(path) as out:
+        temporary = f"{os.path.dirname(path)}/.{os.path.basename(path)}-{uuid.uuid4().hex}"
+        with system.open_output_stream(temporary) as out:
             for p in parts:
                 out.write(p)
+        system.move(temporary, path)
         return
     os.makedirs(os.path.dirname(path), exist_ok=True)
     handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path), prefix=".")
@@ -75,14 +85,15 @@ def put(uri: str, arrays: list[np.ndarray]) -> None:
 
 def mapped(uri: str) -> list[np.ndarray]:
     path = _local(uri)
-    if path is None:  # a store that cannot be mapped: a copy of this file in the worker's own folder is
+    if path is None:  # a store that cannot be mapped: a nameless copy of this file is, which ends with the worker
         from pyarrow import fs
 
         system, there = fs.FileSystem.from_uri(uri)
-        handle, path = tempfile.mkstemp()
-        with system.open_input_stream(there) as source, os.fdopen(handle, "wb") as out:
+        path = tempfile.TemporaryFile()
+        with system.open_input_stream(there) as source:
             while block := source.read(1 << 20):
-                out.write(block)
+                path.write(block)
+        path.flush()
     raw = np.memmap(path, np.uint8, "r")
     n = int(raw[:8].view("<u8")[0])
     head = raw[8 : 8 + 16 * n].view("<u8").reshape(n, 2)
@@ -111,9 +122,15 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(lengths, np.int64)
 
 
-def _shards_of(spark: SparkSession) -> int:
-    """A power of two, eight times the shuffle's partitions or a little more: even loads, and blocks that grow with the input a partition is sized for."""
-    return 1 << max(4, math.ceil(math.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+def shards_of(train: DataFrame) -> int:
+    """A power of two, so many that about SHARD_BYTES reach a shard of bigrams whatever the session's settings: prose makes a byte of keys and counts of each byte of text, or less; words of one letter four times that."""
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return 1 << max(4, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+
+
+def by_shard(blocks: DataFrame, shards: int, column: str = "shard") -> DataFrame:
+    """Blocks dealt to tasks of TASK_SHARDS shards, which are merged one after the other."""
+    return blocks.repartition(max(1, shards // TASK_SHARDS), column).groupBy(column)
 
 
 def _cut(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -169,7 +186,7 @@ def count_words(train: DataFrame, root: str, shards: int) -> dict[int, tuple[int
         put(f"{root}/words-{shard}", [keys, counts.astype("<u8")])
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    found = text_bytes(train).mapInArrow(count, _BLOCK).groupBy("shard").applyInArrow(merge, "shard int, n bigint, tokens bigint")
+    found = by_shard(text_bytes(train).mapInArrow(count, _BLOCK), shards).applyInArrow(merge, "shard int, n bigint, tokens bigint")
     return {r["shard"]: (r["n"], r["tokens"]) for r in found.collect()}  # a row for each shard
 
 
@@ -181,10 +198,11 @@ class Vocabulary:
         n = np.array([sizes.get(s, (0, 0))[0] for s in range(shards)], np.int64)
         self.first = np.cumsum(n) - n
         self.n = n
-        # what stands around words is kept by runs of shards of about GROUP_WORDS words: a bigram shard sends each run one block
-        self.groups = min(shards, max(16, 1 << math.ceil(math.log2(max(1, int(n.sum()) / GROUP_WORDS)))))
-        self.group_first = self.first[:: shards // self.groups]
-        self.group_n = n.reshape(self.groups, -1).sum(axis=1)
+        # what stands around words is kept by runs of GROUP_WORDS words: a bigram shard sends each run one block
+        words = int(n.sum())
+        self.groups = max(1, -(-words // GROUP_WORDS))
+        self.group_first = np.arange(self.groups, dtype=np.int64) * GROUP_WORDS
+        self.group_n = np.minimum(words - self.group_first, GROUP_WORDS)
         self.files: dict[tuple[str, int], list[np.ndarray]] = {}
 
     def __getstate__(self) -> dict:
@@ -215,7 +233,6 @@ class Vocabulary:
         out = np.zeros((len(numbers), 4), np.int64)
         group = np.searchsorted(self.group_first, numbers, side="right") - 1
         for g in np.unique(group[numbers >= 0]):
-            # empty groups begin where the next does; the last of these holds the words
             own = (group == g) & (numbers >= 0)
             dense = self.file("around", int(g))[0].reshape(-1, 4)
             out[own] = dense[numbers[own] - self.group_first[g]]
@@ -283,7 +300,7 @@ def count_bigrams(train: DataFrame, vocabulary: Vocabulary, root: str, shards: i
         )
 
     schema = "part int, numbers binary, found binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint, distinct bigint"
-    return text_bytes(train).mapInArrow(count, _BLOCK).groupBy("shard").applyInArrow(merge, schema), schema
+    return by_shard(text_bytes(train).mapInArrow(count, _BLOCK), shards).applyInArrow(merge, schema), schema
 
 
 def count_around(parts: DataFrame, vocabulary: Vocabulary, root: str) -> list[int]:
@@ -301,7 +318,7 @@ def count_around(parts: DataFrame, vocabulary: Vocabulary, root: str) -> list[in
             before = np.delete(before, start - vocabulary.group_first[part])
         return pa.table({f"n{k}": pa.array([int((before == k).sum())], pa.int64()) for k in (1, 2, 3, 4)} | {"more": pa.array([int((before >= 3).sum())], pa.int64())})
 
-    found = parts.groupBy("part").applyInArrow(merge, "n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
+    found = by_shard(parts, vocabulary.groups, "part").applyInArrow(merge, "n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
     row = found.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "more"))).first()
     return list(row)
 
@@ -368,7 +385,7 @@ class Model:
 
 def train_model(train: DataFrame, root: str) -> Model:
     spark = train.sparkSession
-    shards = _shards_of(spark)
+    shards = shards_of(train)
     sizes = count_words(train, root, shards)
     vocabulary = Vocabulary(root, sizes, shards)
     types, tokens = int(vocabulary.n.sum()), sum(t for _, t in sizes.values())

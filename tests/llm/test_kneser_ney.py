@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from blockquery.llm.kneser_ney import _unmix, bigram_keys, discounts, op9_kneser_ney, score_corpus
+from blockquery.llm import kneser_ney
+from blockquery.llm.kneser_ney import Vocabulary, _unmix, bigram_keys, mapped, op9_kneser_ney, put, score_corpus, shards_of
+from blockquery.llm.kneser_ney import discounts as own_discounts
 from blockquery.llm.common import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -17,6 +19,15 @@ def tokens(text):
     return [*WORD.findall((text or "").translate(LOW)), "</s>"]
 
 
+def discounts(n1, n2, n3, n4):
+    """Chen and Goodman's three discounts, kept apart from the operator's; half a count where its counts of counts are none."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d1 = 1 - 2 * y * n2 / n1 if n1 and n2 else 0.5
+    d2 = 2 - 3 * y * n3 / n2 if n2 and n3 else 0.5
+    d3 = 3 - 4 * y * n4 / n3 if n3 and n4 else 0.5
+    return [0.0, min(max(d1, 0.05), 0.95), min(max(d2, 0.05), 1.95), min(max(d3, 0.05), 2.95)]
+
+
 def model(texts):
     """The model of the operator's docstring, from dictionaries."""
     train = [tokens(t) for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 10 != 0]
@@ -98,6 +109,37 @@ def test_hashes_invert():
 
 
 def test_discounts():
-    assert discounts(0, 0, 0, 0)[0] == 0 and all(0 <= d <= k for k, d in enumerate(discounts(100, 40, 20, 10)))
-    y = 100 / 180
-    assert discounts(100, 40, 20, 10)[1] == pytest.approx(1 - 2 * y * 40 / 100)
+    r = np.random.default_rng(2)
+    for n in ((0, 0, 0, 0), (1, 0, 0, 0), (100, 40, 20, 10), (5, 500, 1, 900), *r.integers(0, 50, (200, 4)).tolist()):
+        assert own_discounts(*n).tolist() == pytest.approx(discounts(*n))
+
+
+def test_shards_follow_the_data_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words here " * 64) for i in range(64)], "doc_id bigint, text string")
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 1000)
+    found = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.add(shards_of(docs))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {128} and shards_of(docs.where("false")) == 16
+    v = Vocabulary("", {s: (50_000, 0) for s in range(16)}, 16)
+    assert v.groups == 13 and v.group_n.sum() == 800_000 and v.group_n.max() == kneser_ney.GROUP_WORDS
+
+
+def test_stores_that_cannot_be_mapped(tmp_path, monkeypatch):
+    """Files of another store are written under another name first, and mapped from a copy that has no name."""
+    import os
+    import tempfile
+
+    arrays = [np.arange(1000, dtype="<u8"), np.arange(7, dtype="u1"), np.zeros(0, "<u4")]
+    monkeypatch.setattr(kneser_ney, "_local", lambda uri: None)
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path / "own"))
+    os.mkdir(tmp_path / "own")
+    uri = f"file://{tmp_path}/far/words-3"
+    put(uri, arrays)
+    put(uri, arrays)
+    assert os.listdir(tmp_path / "far") == ["words-3"]
+    got = mapped(uri)
+    assert all((a == b).all() for a, b in zip(got, arrays)) and os.listdir(tmp_path / "own") == []
