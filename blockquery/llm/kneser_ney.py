@@ -129,8 +129,9 @@ def shards_of(train: DataFrame) -> int:
 
 
 def by_shard(blocks: DataFrame, shards: int, column: str = "shard") -> DataFrame:
-    """Blocks dealt to tasks of TASK_SHARDS shards, which are merged one after the other."""
-    return blocks.repartition(max(1, shards // TASK_SHARDS), column).groupBy(column)
+    """Blocks dealt to tasks of just TASK_SHARDS shards, which are merged one after the other; a hash would deal some tasks twice as many."""
+    task = F.floor(F.col(column) / TASK_SHARDS).cast("int")
+    return blocks.withColumn("task", task).repartitionById(-(-shards // TASK_SHARDS), F.col("task")).groupBy("task", column)
 
 
 def _cut(keys: np.ndarray, shards: int) -> np.ndarray:
