@@ -40,6 +40,8 @@ WINDOW, LEAST, MOST, MASK_BITS = 16, 128, 2048, 9
 SHARD_DOCS = 50_000
 #: Documents whose leaves are hashed together.
 BLOCK_DOCS = 1024
+#: Numbers of surplus rows are broadcast up to so many (8 bytes each), and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 #: Digests that a task remembers to leave out chunks it has already written.
 SEEN = 200_000
 
@@ -47,9 +49,11 @@ SEEN = 200_000
 def marks(ids: np.ndarray, gear: np.ndarray, bits: int = MASK_BITS) -> np.ndarray:
     """Places after which a chunk may end. Only the last WINDOW ids decide, so documents may be given one after the other."""
     g = gear[ids]
-    h = g.copy()
-    for k in range(1, WINDOW):
-        h[k:] += g[:-k] << np.uint32(k)
+    h, k = g, 1
+    while k < WINDOW:  # sums over 2, 4, ... ids, each from two of half as many
+        more = h.copy()
+        more[k:] += h[:-k] << np.uint32(k)
+        h, k = more, 2 * k
     return np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
 
 
@@ -175,8 +179,13 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def write_store(docs: DataFrame, root: str, vocabulary: str | None = None, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> None:
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-store")
-    staged = scratch.write(_staged(docs, vocabulary or default_vocabulary(), end_id), "staged", ("kind",))
-    chunks = staged.where("kind = 1").groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload"))
+    staged = _staged(docs, vocabulary or default_vocabulary(), end_id).withColumn("row", F.monotonically_increasing_id())
+    staged = scratch.write(staged, "staged", ("kind",))
+    chunks = staged.where("kind = 1").select("row", "digest", "n_ids", "payload")
+    # a task leaves out what it has written itself; of what several have, all but one row are left out here. Only digests move
+    twice = chunks.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    surplus = scratch.write(chunks.select("digest", "row").join(twice, "digest").where("row != first").select("row"), "surplus")
+    chunks = chunks.join(F.broadcast(surplus) if surplus.count() <= BROADCAST_ROWS else surplus, "row", "left_anti").drop("row")
     chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/chunks")
     recipes = staged.where("kind = 0").select("doc_id", "n_tokens", "root", "digests", "lengths")
     shards = max(1, -(-recipes.count() // shard_docs))
@@ -209,8 +218,9 @@ STORE_ROW = "width int, end_id bigint, vocabulary string, n_shards bigint, n_doc
 
 def manifest(recipes: DataFrame, about: tuple[int, int, str]) -> tuple[list[tuple], tuple]:
     """A row for each shard and the store's own row, hashed from the recipes. about: width, end id and digest of the vocabulary."""
-    leaf = F.sha2(F.concat(F.to_json(F.struct("doc_id", "place", "rel_start", "n_tokens")), F.hex("root")).cast("binary"), 256)
-    hashed = lambda column, order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, column))), lambda x: x[column]), ",").cast("binary"), 256)
+    # the id comes last, as it may hold anything
+    leaf = F.sha2(F.concat(F.concat_ws(" ", "place", "rel_start", "n_tokens", F.hex("root")), F.coalesce(F.concat(F.lit(" "), F.col("doc_id").cast("string")), F.lit(""))), 256)
+    hashed = lambda column, order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, column))), lambda x: x[column]), ","), 256)
     leaves = recipes.select("shard", F.floor(F.col("place") / BLOCK_DOCS).alias("block"), "place", "n_tokens", leaf.alias("leaf"))
     blocks = leaves.groupBy("shard", "block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hashed("leaf", "place").alias("own"))
     shards = blocks.groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hashed("own", "block").alias("root"))
