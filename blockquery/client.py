@@ -20,6 +20,7 @@ from .build import read_text
 from .errors import EngineError
 from .operators.blocks import BLOCK, HIDDEN, INTERNAL
 from .plans.find import OrderBy, order_columns, order_keys, page
+from .operators.indexes import TEXT_TABLES
 from .plans.planner import Metadata, candidates, named
 from .plans.where import KEYS, REST, assert_prunes, check, compact, predicate
 from .schema import FORMAT_VERSION, CollectionSchema
@@ -27,6 +28,9 @@ from .schema import FORMAT_VERSION, CollectionSchema
 MAX_RESULTS = 10_000
 #: Blocks of the first step of a walk; each further step reads twice as many.
 WALK = 4
+#: Rows that a top-k may gather.
+MAX_TOP_K = 100_000
+
 
 @dataclass
 class Found:
@@ -44,8 +48,10 @@ class Count:
 
 
 def merge_by_pk(frames: list[DataFrame], pk: str) -> DataFrame:
-    """The union of several queries' records, each once: what there is in place of OR."""
-    return reduce(DataFrame.unionByName, frames).dropDuplicates([pk])
+    """The union of several queries' records, each once: what there is in place of OR. Of records that share a key and differ, the least as JSON stays."""
+    both = reduce(DataFrame.unionByName, frames)
+    whole = F.struct(*(F.col(f"`{c}`") for c in both.columns))
+    return both.groupBy(F.col(f"`{pk}`").alias("_pk")).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
 
 
 class Collection:
@@ -62,10 +68,17 @@ class Collection:
             raise EngineError("FORMAT_VERSION", f"the collection has format {manifest.get('format_version')}, this engine reads {FORMAT_VERSION}; build it again")
         self.manifest, self.schema = manifest, CollectionSchema.from_json(manifest["schema"])
         self._columns = T.StructType.fromJson(manifest["columns"])
-        tables = set(manifest["tables"])
-        table = lambda name: self.spark.read.parquet(f"{self.path}/meta/{name}") if name in tables else None
+        columns, folder = manifest["table_columns"], {t: f"index/table={t}" for t in TEXT_TABLES}
+
+        def table(name: str) -> DataFrame | None:
+            # with its columns at hand, opening a table starts no job
+            if name in manifest["without_rows"]:
+                return self.spark.createDataFrame([], T.StructType.fromJson(columns[name]))
+            return self.spark.read.schema(T.StructType.fromJson(columns[name])).parquet(f"{self.path}/meta/{folder.get(name, name)}") if name in columns else None
+
+        self._all: DataFrame | None = None
         with self._errors():
-            self.metadata = Metadata(self.spark.read.parquet(f"{self.path}/meta/blocks"), table("zonemap"), table("postings"), table("reversed"), table("trigrams"), table("empty_blocks"), {f.name: f.dataType.simpleString() for f in self._columns})
+            self.metadata = Metadata(table("blocks"), table("zonemap"), table("postings"), table("reversed"), table("trigrams"), table("empty_blocks"), {f.name: f.dataType.simpleString() for f in self._columns})
 
     @contextmanager
     def _errors(self) -> Iterator[None]:
@@ -97,13 +110,15 @@ class Collection:
     # --- plans -----------------------------------------------------------------------------------
 
     def stored(self, blocks: list[int] | None = None) -> DataFrame:
-        """The records of all or of some blocks. Of some, only their own folders are listed, and each must have a file."""
+        """The records of all or of some blocks. Of up to half of them, only their own folders are listed, and each must have a file."""
         root = f"{self.path}/{self.manifest['data']}"
         reader = self.spark.read.schema(self._columns).option("basePath", root)
-        if blocks is None:
-            return reader.parquet(root)
-        if not blocks:
+        if blocks is not None and not blocks:
             return self.spark.createDataFrame([], self._columns)
+        if blocks is None or 2 * len(blocks) > self.manifest["blocks"]:
+            if self._all is None:  # its list of files is kept
+                self._all = reader.parquet(root)
+            return self._all if blocks is None else self._all.where(F.col(BLOCK).isin(*blocks))
         df = reader.parquet(*(f"{root}/{BLOCK}={b}" for b in blocks))
         there = {int(m[1]) for m in (re.search(rf"/{BLOCK}=(\d+)/", f) for f in df.inputFiles()) if m}
         if there != set(blocks):
@@ -147,15 +162,16 @@ class Collection:
             assert_prunes(own, self.schema)
         if tag is None:
             return self._fresh(lambda: self._find(own, keys, limit, offset))
-        self.spark.addTag(tag)
+        # the context's tags: a session's own can be interrupted by the thread that set them only
+        self.spark.sparkContext.addJobTag(tag)
         try:
             return self._fresh(lambda: self._find(own, keys, limit, offset))
         finally:
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
 
     def cancel(self, tag: str) -> None:
-        """Stops the queries that run under a tag; they end with ABORTED."""
-        self.spark.interruptTag(tag)
+        """Stops the queries that run under a tag, from any thread; they end with ABORTED."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def _assert_scan(self, scan: str, limit: int | None, keys: list[tuple[str, str]]) -> None:
         if scan != "block-order":
@@ -175,6 +191,18 @@ class Collection:
         return keys[0][1]
 
     def _find(self, where: dict, keys: list[tuple[str, str]], limit: int | None, offset: int) -> Found:
+        if offset <= MAX_TOP_K:
+            return self._page(where, keys, limit, offset)
+        # a top-k of so many rows would be kept in one place: sort and skip instead
+        name = "spark.sql.execution.topKSortFallbackThreshold"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, MAX_TOP_K)
+        try:
+            return self._page(where, keys, limit, offset)
+        finally:
+            self.spark.conf.set(name, before)
+
+    def _page(self, where: dict, keys: list[tuple[str, str]], limit: int | None, offset: int) -> Found:
         df, blocks = self._match(where)
         direction = self._walk(limit, keys)
         columns = order_columns(df, self.schema, keys)
@@ -182,7 +210,9 @@ class Collection:
             if blocks is None:
                 narrow = candidates(where, self.schema, self.metadata)
                 blocks = sorted(r[0] for r in (self.metadata.blocks if narrow is None else narrow).select(BLOCK).collect())  # a number for each block
-            return self._walked(df, blocks, columns, direction, limit, offset)
+            if offset:
+                return self._skipped(df, where, columns, direction, limit, offset)
+            return self._walked(df, blocks, columns, direction, limit)
         ordered = df.orderBy(*columns)
         ordered = ordered.offset(offset) if offset else ordered
         if limit is not None:
@@ -194,14 +224,30 @@ class Collection:
             raise EngineError("LIMIT_EXCEEDED", f"more than {self.max_results} records match; set a limit")
         return Found(self._plain(rows), False, None if not rows and offset else offset + len(rows))
 
-    def _walked(self, df: DataFrame, blocks: list[int], columns: list[Column], direction: str, limit: int, offset: int) -> Found:
-        left, step, rows, need = list(blocks if direction == "asc" else blocks[::-1]), WALK, [], offset + limit + 1
-        while left and len(rows) < need:
+    def _walked(self, df: DataFrame, blocks: list[int], columns: list[Column], direction: str, limit: int) -> Found:
+        left, step, rows = list(blocks if direction == "asc" else blocks[::-1]), WALK, []
+        while left and len(rows) <= limit:
             batch, left = left[:step], left[step:]
             step *= 2
-            rows += df.where(F.col(BLOCK).isin(*batch)).orderBy(*columns).limit(need - len(rows)).collect()
-        more = len(rows) > offset + limit
-        return Found(self._plain(rows[offset : offset + limit]), more, None if more or left else len(rows))
+            rows += df.where(F.col(BLOCK).isin(*batch)).orderBy(*columns).limit(limit + 1 - len(rows)).collect()
+        more = len(rows) > limit
+        return Found(self._plain(rows[:limit]), more, None if more or left else len(rows))
+
+    def _skipped(self, df: DataFrame, where: dict, columns: list[Column], direction: str, limit: int, offset: int) -> Found:
+        """A page beyond an offset: matches are counted by block (from metadata without a filter), and only the blocks of the page are read for records."""
+        counts = (df.groupBy(BLOCK).agg(F.count("*").alias("count")) if where else self.metadata.blocks).select(BLOCK, "count")
+        held = sorted((r[0], r[1]) for r in counts.collect())  # two numbers for each block
+        total, before, chosen, reached = sum(n for _, n in held), 0, [], 0
+        for block, n in held if direction == "asc" else held[::-1]:
+            if reached + n <= offset:
+                before += n
+            elif reached < offset + limit:
+                chosen.append(block)
+            reached += n
+        if not chosen:
+            return Found([], total > offset + limit, total)
+        rows = df.where(F.col(BLOCK).isin(*chosen)).orderBy(*columns).offset(offset - before).limit(limit).collect()
+        return Found(self._plain(rows), total > offset + limit, total)
 
     def _plain(self, rows: list[Row]) -> list[dict[str, Any]]:
         """Records as dictionaries; a key that was absent stays so, and one that the schema does not declare is there again."""

@@ -57,6 +57,16 @@ def _fold_udf(c: Column) -> Column:
     return F.pandas_udf(_fold_series, T.StringType())(c)
 
 
+def _fold_list_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda own: [_fold(x) for x in own if x is not None], na_action="ignore")
+
+
+def _fold_list_udf(c: Column) -> Column:
+    """Every element folded; null elements are left out."""
+    return F.pandas_udf(_fold_list_series, T.ArrayType(T.StringType()))(c)
+
+
 def fold(c: Column) -> Column:
     """Without accents and in lower case. Plain ASCII, by far the most, never leaves the JVM's functions for its result."""
     return F.when(c.rlike(r"^\p{ASCII}*$"), F.lower(c)).otherwise(_fold_udf(c))

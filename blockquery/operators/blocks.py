@@ -81,15 +81,31 @@ def greedy_cut(records: Iterable[tuple[object, int]], target: int) -> list[int]:
     return out
 
 
-def block_table(stored: DataFrame, schema: CollectionSchema) -> DataFrame:
-    """A row for each block: count, bytes, bounds of the sort field over real values, and nulls and absent keys."""
+def content_hash_of(lines: Column) -> Column:
+    """A hash of a set of records that does not depend on their order: the sum of 60 bits of each line's MD5."""
+    return F.sum(F.conv(F.substring(F.md5(lines.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)"))
+
+
+def block_aggregates(stored: DataFrame, schema: CollectionSchema) -> list[Column]:
+    """count, bytes, largest record, bounds of the sort field over real values, its distinct values, nulls and absent keys, and a hash of the content."""
     s = F.col(f"`{schema.sort_field}`")
     absent = ~F.array_contains(F.col(KEYS), schema.sort_field) if KEYS in stored.columns else F.lit(False)
-    return stored.groupBy(BLOCK).agg(
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in stored.columns if c not in INTERNAL)))
+    size = F.octet_length(line) + 1
+    return [
         F.count("*").alias("count"),
-        F.sum(record_bytes(stored)).alias("bytes"),
+        F.sum(size).alias("bytes"),
+        F.max(size).alias("largest"),
         F.min(s).alias("lo"),
         F.max(s).alias("hi"),
+        # equal values share a block, so these add up to the collection's; no set is larger than a block
+        F.size(F.collect_set(s)).alias("values"),
         F.sum((s.isNull() & ~absent).cast("long")).alias("n_null"),
         F.sum(absent.cast("long")).alias("n_absent"),
-    )
+        content_hash_of(line).cast("string").alias("hash"),
+    ]
+
+
+def block_table(stored: DataFrame, schema: CollectionSchema) -> DataFrame:
+    """A row for each block, as block_aggregates says."""
+    return stored.groupBy(BLOCK).agg(*block_aggregates(stored, schema))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions.normalize import COLUMNS, _fold_udf
+from ..functions.normalize import COLUMNS, _fold_list_udf
 from ..plans.where import KEYS
 from ..schema import CollectionSchema
 
@@ -20,12 +20,8 @@ def derive(df: DataFrame, schema: CollectionSchema) -> DataFrame:
             raise EngineError("CONFIG", f"the input already has the derived field {f.name!r}")
         source, using = F.col(f"`{f.derive_from}`"), COLUMNS[f.derive_using]
         if schema.fields[f.derive_from].multi:
-            # Python functions do not run inside lambdas: folding a list goes through its joined form
-            if f.derive_using == "fold":
-                value = F.split(_fold_udf(F.array_join(source, "\x00")), "\x00")
-                value = F.when(F.size(source) > 0, value)
-            else:
-                value = F.filter(F.transform(source, using), lambda x: x.isNotNull())
+            # Python functions do not run inside lambdas: a list is folded by a function of lists
+            value = _fold_list_udf(source) if f.derive_using == "fold" else F.filter(F.transform(source, using), lambda x: x.isNotNull())
             value = F.when(F.size(value) > 0, value)
         else:
             value = using(source)

@@ -62,6 +62,12 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.select(F.explode("blocks").alias(BLOCK)).distinct()
 
 
+def _in_all(table: DataFrame, values: list[str]) -> DataFrame:
+    """Blocks in the lists of all values; each value has one list."""
+    found = table.where(F.col("value").isin(*values)).select(F.explode("blocks").alias(BLOCK))
+    return found.groupBy(BLOCK).agg(F.count("*").alias("n")).where(F.col("n") == len(values)).select(BLOCK)
+
+
 def _of(table: DataFrame | None, name: str) -> DataFrame | None:
     return None if table is None else table.where(F.col("field") == name)
 
@@ -95,8 +101,7 @@ def _indexed(meta: Metadata, f: Field, filters: dict[str, Any], pruning: tuple[s
             out.append(_blocks(_of(meta.reversed, name).where(value.startswith(v[::-1]))))
         elif op == "contains":
             grams = sorted({v[i : i + 3] for i in range(len(v) - 2)})
-            found = _of(meta.trigrams, name).where(value.isin(*grams)).select("value", F.explode("blocks").alias(BLOCK))
-            out.append(found.groupBy(BLOCK).agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select(BLOCK))
+            out.append(_in_all(_of(meta.trigrams, name), grams))
     return out
 
 
@@ -113,7 +118,11 @@ def _list(meta: Metadata, f: Field, filters: dict[str, Any], pruning: tuple[str,
         if not operator_prunes(op, v, pruning):
             continue
         if op == "hasEvery":
-            out += [p for x in v for p in _indexed(meta, f, {"equals": x}, pruning)]
+            wanted = list(dict.fromkeys(v))
+            if f.kind == "string" and wanted:  # one lookup: a block must be in the lists of all values
+                out.append(_in_all(_of(meta.postings, f.name), wanted))
+            else:
+                out += [p for x in wanted for p in _indexed(meta, f, {"equals": x}, pruning)]
             continue
         none = _of(meta.empty, f.name).select(BLOCK) if meta.empty is not None else None
         if op == "isEmpty":
@@ -148,5 +157,6 @@ def candidates(where: dict[str, dict[str, Any]], schema: CollectionSchema, meta:
 
 def named(found: DataFrame) -> list[int] | None:
     """The candidate blocks, in order; None where they are more than LITERAL_BLOCKS."""
-    rows = found.distinct().limit(LITERAL_BLOCKS + 1).collect()
-    return sorted(r[0] for r in rows) if len(rows) <= LITERAL_BLOCKS else None
+    # candidate sets are distinct in themselves, and so is what is left of one by the others
+    rows = found.limit(LITERAL_BLOCKS + 1).collect()
+    return sorted({r[0] for r in rows}) if len(rows) <= LITERAL_BLOCKS else None

@@ -12,7 +12,7 @@ from .errors import EngineError
 
 KINDS = ("string", "number", "date", "boolean", "json")
 FORMATS = ("ndjson", "json", "csv", "tsv", "parquet")
-COMPRESSIONS = {"none": "uncompressed", "gzip": "gzip", "zstd": "zstd", "snappy": "snappy", "brotli": "zstd"}
+COMPRESSIONS = {"none": "uncompressed", "gzip": "gzip", "zstd": "zstd", "snappy": "snappy"}
 NORMALIZERS = {"numeric": "number", "lowercase": "string", "trim": "string", "fold": "string"}
 FORMAT_VERSION = 0
 #: Blocks of 128 MiB suit Spark; a target is compared with the bytes of records as JSON.
@@ -209,7 +209,7 @@ def resolve(data: dict[str, Any]) -> Config:
         raise _bad("gzip and compression contradict each other")
     compression = compression or ("gzip" if data.get("gzip") else "zstd")
     if compression not in COMPRESSIONS:
-        raise _bad(f"unknown compression {compression!r}")
+        raise _bad(f"unknown compression {compression!r}: Spark writes {', '.join(COMPRESSIONS)}")
     own = data.get("schema") or {}
     if "sortField" not in own or "fields" not in own:
         raise _bad("schema needs sortField and fields")
