@@ -9,6 +9,9 @@ from ..errors import DriftError
 from ..plans.where import KEYS
 from ..schema import CollectionSchema
 
+#: Characters of a record that a report shows.
+LONGEST = 500
+
 
 def _faults(df: DataFrame, schema: CollectionSchema) -> dict[tuple[str, str], Column]:
     out: dict[tuple[str, str], Column] = {}
@@ -27,18 +30,23 @@ def _faults(df: DataFrame, schema: CollectionSchema) -> dict[tuple[str, str], Co
 
 
 def drift_report(df: DataFrame, schema: CollectionSchema) -> list[dict]:
-    """A row for each field and fault that occurs, in the order of the schema, with how many records have it."""
+    """A row for each field and fault that occurs, in the order of the schema: how many records have it, and the least of these as JSON with the value at fault (null where there is none)."""
     faults = _faults(df, schema)
     if not faults:
         return []
-    row = df.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(str(i)) for i, c in enumerate(faults.values()))).first()
-    return [{"field": name, "fault": fault, "records": row[i]} for i, (name, fault) in enumerate(faults) if row[i]]
+    line = F.col("_line") if "_line" in df.columns else F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (KEYS, "_bad"))))
+    value = lambda name: F.get_json_object(line, "$['" + name.replace("'", "\\'") + "']") if "_line" in df.columns else F.col(f"`{name}`").cast("string")
+    # a minimum is kept of records at fault only: clean data cost a null
+    aggs = [x for i, ((name, _), c) in enumerate(faults.items()) for x in (F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"n{i}"), F.min(F.when(c, F.struct(F.substring(line, 1, LONGEST).alias("record"), F.substring(value(name), 1, LONGEST).alias("value")))).alias(f"first{i}"))]
+    row = df.agg(*aggs).first()
+    return [{"field": name, "fault": fault, "records": row[f"n{i}"], "record": row[f"first{i}"]["record"], "value": row[f"first{i}"]["value"]} for i, (name, fault) in enumerate(faults) if row[f"n{i}"]]
 
 
 _FIX = {"missing": "the key is missing; declare the field absent", "null": "the value is null; declare the field nullable", "kind": "the value is of another kind; correct the data or infer the schema again"}
 
 
 def check_drift(df: DataFrame, schema: CollectionSchema) -> None:
+    """All faults in one error. Its message names fields and numbers of records; the report has a record of each, which a log need not hold."""
     report = drift_report(df, schema)
     if report:
         lines = [f"{_FIX[fault]}: " + ", ".join(f"{r['field']} ({r['records']} records)" for r in report if r["fault"] == fault) for fault in _FIX if any(r["fault"] == fault for r in report)]

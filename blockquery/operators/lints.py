@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CollectionSchema
 from .indexes import selectivity
-from .infer import WEAK_SHARE, Stats
+from .infer import SHAPE_SHARE, URL, UUID, WEAK_SHARE, Stats
 
 LONG_RUN, SKEW, FEW_BLOCKS = 20, 2.0, 8
 
@@ -56,25 +56,33 @@ def shared_values(schema: CollectionSchema) -> list[tuple[str, ...]]:
     return [tuple(sorted(names)) for names in by.values() if len(names) > 1]
 
 
-def collection_warnings(collection, stats: dict[str, Stats] | None = None, block_bytes: int | None = None) -> list[str]:
-    """All warnings about a built collection, from its metadata; one aggregate over the records for what that does not hold."""
+def text_shapes(stored: DataFrame, names: list[str]) -> dict[str, Stats]:
+    """What text-indexed fields look like, for unsuitable_text_indexes; and their bytes."""
+    if not names:
+        return {}
+    aggs = [x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)).alias(f"b{i}"), *(F.sum(F.col(f"`{c}`").rlike(p).cast("long")).alias(f"{s}{i}") for s, p in (("url", URL), ("uuid", UUID))))]
+    row = stored.agg(*aggs).first()
+    shape = lambda i: next((s for s in ("url", "uuid") if row[f"n{i}"] and row[f"{s}{i}"] >= SHAPE_SHARE * row[f"n{i}"]), None)
+    return {c: Stats(c, "string", row[f"n{i}"], row[f"n{i}"], 0, 0, shape=shape(i), bytes=row[f"b{i}"]) for i, c in enumerate(names)}
+
+
+def collection_warnings(collection, stats: dict[str, Stats] | None = None, block_bytes: int | None = None, manifest_bytes: int | None = None) -> list[str]:
+    """All warnings about a built collection, from its metadata; one aggregate over text-indexed columns for what that does not hold."""
     schema, meta, n = collection.schema, collection.metadata, collection.manifest["blocks"]
-    stored = collection.stored()
-    text = [name for name, f in schema.fields.items() if f.contains]
-    row = stored.agg(F.approx_count_distinct(F.col(f"`{schema.sort_field}`")), *(F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c in text)).first()
-    out = [low_cardinality_sort(collection.manifest["records"], row[0], schema.sort_field)]
+    block_bytes = block_bytes or collection.manifest["block_bytes"]
+    shapes = text_shapes(collection.stored(), [name for name, f in schema.fields.items() if (f.contains or f.ends_with) and not f.multi])
+    out = [low_cardinality_sort(collection.manifest["records"], collection.manifest["values"], schema.sort_field)]
     for table, what in ((meta.postings, "index"), (meta.reversed, "endsWith index"), (meta.trigrams, "contains index")):
         if table is not None:
             out += weak_indexes({r["field"]: r["share"] for r in selectivity(table, n).collect()}, n, what)  # a row for each field
     if meta.trigrams is not None:
         # a gram's text, and two bytes for each block it is in
         sized = meta.trigrams.groupBy("field").agg(F.sum(F.octet_length("value") + 2 * F.size("blocks")).alias("n")).collect()
-        out += contains_larger_than_column({r["field"]: r["n"] for r in sized}, dict(zip(text, row[1:])))
+        out += contains_larger_than_column({r["field"]: r["n"] for r in sized}, {c: s.bytes for c, s in shapes.items()})
     skewed = skewed_blocks(meta.blocks).count()
     out.append(f"{skewed} blocks have more than {SKEW:g} times the mean of bytes" if skewed else None)
-    if block_bytes is not None:
-        largest = meta.blocks.where(F.col("count") == 1).agg(F.max("bytes")).first()[0]
-        out.append(oversized_record(largest or 0, block_bytes))
-    out += unsuitable_text_indexes(schema, stats or {})
+    out.append(oversized_record(collection.manifest["largest"], block_bytes))
+    out.append(over_budget(manifest_bytes) if manifest_bytes is not None else None)
+    out += unsuitable_text_indexes(schema, shapes | (stats or {}))
     out += [f"{', '.join(names)} have the same values and could share a named type" for names in shared_values(schema)]
     return [w for w in out if w]

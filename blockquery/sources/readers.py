@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
-import glob as _glob
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError
+from ..functions.normalize import numeric
 from ..plans.where import KEYS, REST
 from ..schema import CollectionSchema, Field
 
 
-def expand(pattern: str) -> list[str]:
-    """Paths of a pattern, in order. `**` is opened here, for Hadoop does not know it; anything else Hadoop opens itself."""
+def expand(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of a pattern, in order. Hadoop's own patterns have no `**`: folders of any depth are listed through the path's file system, local or not, and matched here."""
     if "**" not in pattern:
         return [pattern]
-    found = sorted(_glob.glob(pattern.removeprefix("file://"), recursive=True))
+    root = pattern[: pattern.index("**")].rsplit("/", 1)[0] or "/"
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, wanted = [], _matcher(base.toUri().getPath().rstrip("/") + pattern[len(root.rstrip("/")) :])
+    if fs.exists(base):
+        files = fs.listFiles(base, True)
+        while files.hasNext():
+            path = files.next().getPath()
+            if wanted.fullmatch(path.toUri().getPath()):
+                found.append(path.toString())
     if not found:
         raise EngineError("CONFIG", "no file matches the input pattern")
-    return found
-
-
-def _read(load, pattern: str) -> DataFrame:
+    return sorted(found)
+
+
+def _matcher(pattern: str) -> re.Pattern:
+    """`**/` is any depth of folders, `*` and `?` stay inside one, `{a,b}` is either."""
+    out, i, depth = "", 0, 0
+    while i < len(pattern):
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif pattern.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            ch = pattern[i]
+            depth += (ch == "{") - (ch == "}" and depth > 0)
+            out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(ch, "|" if ch == "," and depth else re.escape(ch))
+            i += 1
+    return re.compile(out)
+
+
+def _read(spark: SparkSession, load, pattern: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return load(expand(pattern))
+        return load(expand(spark, pattern))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise EngineError("CONFIG", "no file matches the input pattern") from None
@@ -36,12 +62,12 @@ def _read(load, pattern: str) -> DataFrame:
 
 def ndjson_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """The column `value`: a record's JSON; blank lines are none."""
-    return _read(spark.read.text, pattern).select(F.trim("value").alias("value")).where("value != ''")
+    return _read(spark, spark.read.text, pattern).select(F.trim("value").alias("value")).where("value != ''")
 
 
 def json_lines(spark: SparkSession, pattern: str, records: str | None = None) -> DataFrame:
     """Records of whole JSON documents: an array's elements or an object's values, at the dotted path `records`. A document is the unit that one task parses."""
-    whole = _read(lambda paths: spark.read.text(paths, wholetext=True), pattern)
+    whole = _read(spark, lambda paths: spark.read.text(paths, wholetext=True), pattern)
     path = "$" + "".join(f"['{p}']" for p in records.split(".")) if records else "$"
     at = F.try_variant_get(F.parse_json("value"), path, "variant")
     kind = F.schema_of_variant(at)
@@ -89,19 +115,20 @@ def _is_bad(f: Field, v: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, pattern: str, schema: CollectionSchema, delimiter: str = ",") -> DataFrame:
-    """Records of delimited text with a header. An empty cell is a missing key; a number must be finite, a boolean true or false."""
+    """Records of delimited text with a header. An empty cell is a missing key; a number must be finite, a boolean true or false; a list has no form in a cell."""
     options = {"header": True, "sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
-    raw = _read(lambda paths: spark.read.options(**options).csv(paths), pattern)
+    raw = _read(spark, lambda paths: spark.read.options(**options).csv(paths), pattern)
     own = [f for f in schema.fields.values() if f.derive_from is None]
     columns, bad = [], []
     for f in own:
         cell = F.nullif(F.col(f"`{f.name}`"), F.lit("")) if f.name in raw.columns else F.lit(None).cast("string")
-        value = {"number": cell.try_cast("double"), "boolean": F.when(cell == "true", True).when(cell == "false", False)}.get(f.kind, cell)
-        if f.kind == "number":
-            value = F.when(cell.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$") & (F.abs(value) < F.lit(float("inf"))), value)
+        # a number is what the numeric normalizer takes: decimal, hexadecimal, octal or binary, and finite
+        value = {"number": numeric(cell), "boolean": F.when(cell == "true", True).when(cell == "false", False)}.get(f.kind, cell)
         if f.kind in ("number", "boolean"):
             value = F.when(cell.isNotNull() & value.isNull(), F.raise_error(F.lit(f"CORRUPT_DATA: a cell of {f.name} is no {f.kind}")).cast(f.spark_type())).otherwise(value)
-        columns.append((F.split(cell, ";") if f.multi else value).alias(f.name))
+        if f.multi:  # a cell holds one text: delimited files have no lists
+            value = F.when(cell.isNotNull(), F.raise_error(F.lit(f"CORRUPT_DATA: a cell of {f.name} is no list")).cast("array<string>"))
+        columns.append(value.alias(f.name))
         bad.append(F.when(cell.isNotNull(), F.lit(f.name)))
     keys = F.filter(F.array(*bad), lambda x: x.isNotNull()).alias(KEYS)
     more = [c for c in raw.columns if c not in schema.fields]
@@ -116,7 +143,7 @@ def read_records(spark: SparkSession, pattern: str, form: str, schema: Collectio
         return from_lines(json_lines(spark, pattern, records), schema)
     if form in ("csv", "tsv"):
         return read_csv(spark, pattern, schema, delimiter or ("\t" if form == "tsv" else ","))
-    return _read(lambda paths: spark.read.parquet(*paths), pattern)
+    return _read(spark, lambda paths: spark.read.parquet(*paths), pattern)
 
 
 def head(lines: DataFrame, n: int) -> DataFrame:
