@@ -1,7 +1,9 @@
+import math
 import random
 import re
+import zlib
 
-from blockquery.llm.secret_scan import CANDIDATE, FEATURES, features, find_occurrences, find_secrets, findings_table, forest_score, labelled_findings, op2_secret_scan, redact, train_forest
+from blockquery.llm.secret_scan import BUCKETS, CANDIDATE, FEATURES, dictionary, features, find_occurrences, find_secrets, findings_table, forest_score, labelled_findings, op2_secret_scan, redact, train_forest
 from pyspark.sql import functions as F
 
 from .conftest import python_free
@@ -18,7 +20,7 @@ def score_in_python(forest, row):
 
 def test_forest_as_sql_and_held_out_accuracy(spark):
     forest = train_forest(findings_table(spark))
-    held = findings_table(spark, labelled_findings(1500, seed=99))
+    held = findings_table(spark, labelled_findings(1500, seed=99, words=dictionary()[1::2]))  # words that training has not seen
     described = held.select("label", *(c.cast("double").alias(n) for n, c in features(*(F.col(c) for c in ("value", "before", "after", "path"))).items()))
     rows = described.withColumn("score", forest_score(forest, F.col)).collect()
     assert all(abs(r["score"] - score_in_python(forest, r)) < 1e-9 for r in rows)
@@ -96,3 +98,67 @@ def test_query(spark, small, small_docs):
     for x in rows:
         before = small_docs[x["doc_id"]][: x["start"] - 1]
         assert x["secret"] == before.endswith('token = "')
+
+
+def features_in_python(value, before, after, path):
+    """Every feature by its definition."""
+    n, low = len(value), value.lower()
+    kinds = ["A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "0" if c in "0123456789" else "-" if c in "+/_-=" else c for c in value]
+    counts = {c: value.count(c) for c in set(value)}
+    known = {zlib.crc32(w.encode()) % (1 << 19) for w in dictionary()}
+    bigrams = "th he in er an re nd at on nt ha es st en ed to it ou ea is or ti as te et ng of al de se le ar ve ra ur ro io co me ic".split()
+    out = {
+        "length": n,
+        "digits": sum(c in "0123456789" for c in value) / n,
+        "uppers": sum("A" <= c <= "Z" for c in value) / n,
+        "transitions": sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
+        "distinct": len(counts) / n,
+        "entropy": -sum(k / n * math.log2(k / n) for k in counts.values()),
+        "bigrams": sum(low[i : i + 2] in bigrams for i in range(n)) / n,
+        "coverage": sum(len(w) for w in re.findall("[A-Z]?[a-z]{3,}|[A-Z]{4,}", value) if zlib.crc32(w.lower().encode()) % (1 << 19) in known) / n,
+        "hex": all(c in "0123456789abcdef" for c in low),
+        "dashes": sum(c in "_/-" for c in value) / n,
+        "prefix": value.startswith(("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghr_", "ghs_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live", "rk_live", "eyJ", "AIza", "glpat-", "npm_", "SG")),
+        "test_path": any(w in path.lower() for w in ("test", "example", "sample", "fixture", "mock", "doc/", "docs/", "vendor", "readme", "demo")),
+        "assigned": bool(re.search("[=:>]\\s*[\"'`]?$", before)) and not re.search("[^=]>\\s*[\"'`]?$", before),
+        "quoted": before[-1:] in ("'", '"', "`") and before != "" and after[:1] in ("'", '"', "`") and after != "",
+        "has_digit": any(c in "0123456789" for c in value),
+        "marks": sum(not (c.isascii() and (c.isalnum() or c in "+/_-=")) and not c.isspace() for c in value) / n,
+        "spaces": sum(c.isspace() for c in value) / n,
+    }
+    for name, words in (("before", re.findall("[a-z]{2,}", before.lower())[::-1][:4]), ("after", re.findall("[a-z]{2,}", after.lower())[:2])):
+        buckets = {zlib.crc32(w.encode()) % BUCKETS for w in words}
+        out |= {f"{name}_{i}": i in buckets for i in range(BUCKETS)}
+    return out
+
+
+def test_features_by_definition(spark):
+    rows = labelled_findings(600, seed=5)
+    table = findings_table(spark, rows)
+    got = table.select("value", "before", "after", "path", *(c.cast("double").alias(n) for n, c in features(*(F.col(c) for c in ("value", "before", "after", "path"))).items())).collect()
+    assert len(dictionary()) > 10_000 and {"password", "secret", "message"} <= set(dictionary())
+    for r in got:
+        for name, want in features_in_python(r["value"], r["before"], r["after"], r["path"]).items():
+            assert abs(r[name] - float(want)) < 1e-9, (name, r["value"], r["before"], r["after"], r[name], want)
+
+
+def test_findings_of_one_kind_and_of_none(spark, edge):
+    r = random.Random(3)
+    key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    docs = spark.createDataFrame([(1, f'token = "{key}" or commit {key[::-1]}', "a.py")], "doc_id int, text string, source string")
+    good = [("x1" * 10, "token = ", "", "a", 1)]
+    for rows, want in (([], True), (good, True), ([(*good[0][:4], 0)], False), ([(None, None, None, None, None)], True)):
+        found = find_secrets(docs, findings_table(spark, rows)).collect()
+        assert len(found) == 2 and {r["secret"] for r in found} == {want}
+    both = findings_table(spark, [*labelled_findings(300), (None, None, None, None, 0)])
+    assert find_secrets(docs, both).count() == 2 and python_free(redact(edge, both))
+
+
+def test_words_around_are_learnt(spark):
+    """Labels that follow from one neighbouring word, of which no pattern speaks."""
+    r = random.Random(9)
+    value = lambda: "".join(r.choice("0123456789abcdefghij") for _ in range(24))
+    rows = [(value(), f"some {w} ", f" and {r.choice(('more', 'less'))}", "", int(w == "zebra")) for w in ("zebra", "lemon") * 150]
+    docs = spark.createDataFrame([(i, f"some {w} {value()} and more", "") for i, w in enumerate(("zebra", "lemon") * 20)], "doc_id int, text string, source string")
+    found = find_secrets(docs, findings_table(spark, rows)).collect()
+    assert len(found) == 40 and all(x["secret"] == (x["doc_id"] % 2 == 0) for x in found)
