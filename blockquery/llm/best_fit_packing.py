@@ -24,6 +24,8 @@ from .common import Scratch, crc_ids, default_vocabulary, documents, text_bytes,
 END_ID = 1
 SEQUENCE = 4096
 OPEN_BINS = 512
+#: Pieces of texts whose ids a worker remembers. Packing stands behind other stages in workers that keep what those held.
+KNOWN_PIECES = 300_000
 #: Pieces in a stream: many, so that its last open sequences weigh little, and few enough for one short task.
 STREAM_PIECES = 50_000
 
@@ -76,7 +78,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end
     end, step = end_id.to_bytes(4, "little"), 4 * sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(vocabulary)
+        encode = word_ids(vocabulary, KNOWN_PIECES)
         for batch, texts in text_slices(batches):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, own in enumerate(encode(texts)):

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,16 +81,16 @@ def release_memory() -> None:
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about `most` bytes of text (a longer text stands alone), with the texts; null is empty."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        column = batch.column(batch.schema.get_field_index("text"))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start, total = 0, 0
-        for i, t in enumerate(texts):
-            if i > start and total + len(t) > most:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*sizes, most + 1]):
+            if i > start and (total + n > most or i == len(sizes)):
+                # only a slice's texts are Python's at a time
+                yield batch.slice(start, i - start), [t or b"" for t in column.slice(start, i - start).to_pylist()]
                 start, total = i, 0
-            total += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
-    batch = texts = None
+            total += n
+    batch = column = None
     release_memory()
 
 
@@ -221,14 +222,14 @@ class WordIds:
         return list(map(self.one, texts))
 
 
-_WORD_IDS: dict[str, WordIds] = {}
+_WORD_IDS: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One for each Python worker, so that its tasks share what it has learned."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+def word_ids(path: str, limit: int = 450_000) -> WordIds:
+    """One for each Python worker, so that its tasks share what it has learned: some 400 bytes for each piece of the limit."""
+    if (path, limit) not in _WORD_IDS:
+        _WORD_IDS[path, limit] = WordIds(path, limit)
+    return _WORD_IDS[path, limit]
 
 
 def crc_ids(ids: bytes) -> int:

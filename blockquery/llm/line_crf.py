@@ -131,7 +131,8 @@ class Field:
     transitions: np.ndarray
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights
+        w = self.weights / self.scale
+        return x @ w - self.mean @ w
 
 
 def _messages(u: np.ndarray, active: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +258,8 @@ def line_marginals(field: Field, texts: list[bytes]) -> list[tuple[np.ndarray, n
         return []
     n = np.array([len(w) for _, w in described])
     ends = np.cumsum(n)
-    u = field.emissions(np.concatenate([x for x, _ in described]))
+    u = np.concatenate([field.emissions(x) for x, _ in described])
+    described = [(None, w) for _, w in described]
     out: list = [None] * len(texts)
     size = np.frexp(n)[1]  # documents of like numbers of lines go together
     for s in np.unique(size):
