@@ -39,10 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run in the shared folder. A written table cuts the lineage and outlives any executor."""
+    """Tables of one operator run in the shared folder. A written table cuts the lineage and outlives any executor; results read it, so it goes when the driver ends, or by `drop`."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/bq-{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.marked = spark, f"{shared_dir(spark).rstrip('/')}/bq-{name}-{uuid.uuid4().hex[:12]}", False
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -50,8 +50,15 @@ class Scratch:
     def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+        self.until_exit()
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def until_exit(self) -> None:
+        """Has the driver delete what is there now and later when it ends. For a folder that exists."""
+        if not self.marked:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            self.marked = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
     def drop(self, table: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

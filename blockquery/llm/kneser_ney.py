@@ -420,7 +420,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def score_corpus(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text")
-    model = train_model(docs.where(bucket_of("doc_id", folds) != held_out), Scratch(docs.sparkSession, "kneser-ney").root)
+    scratch = Scratch(docs.sparkSession, "kneser-ney")
+    model = train_model(docs.where(bucket_of("doc_id", folds) != held_out), scratch.root)
+    scratch.until_exit()
     held = F.coalesce(bucket_of("doc_id", folds) == held_out, F.lit(True))
     return score_documents(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 

@@ -330,8 +330,10 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = Scratch(spark, "op10-store").root
+    scratch = Scratch(spark, "op10-store")
+    root = scratch.root
     write_store(documents(spark, sf_dir), root)
+    scratch.until_exit()
     verify_manifest(spark, root)
     return read_digests(spark, root)
 

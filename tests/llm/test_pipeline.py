@@ -65,7 +65,27 @@ def test_edge_cases(spark, edge, nothing, tmp_path):
         out = stages(spark, docs, str(tmp_path), tmp_path / name)
         for stage in list(out)[:-1]:
             assert out[stage].columns == docs.columns
-        assert name == "edge" or out["packing"].count() == 0
+        if name == "nothing":
+            assert out["packing"].count() == 0
+            continue
+        ids = {stage: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.collect()) for stage, df in out.items()}
+        assert set(ids["quality"]) <= {(d["doc_id"] is None, d["doc_id"] or 0) for d in docs.collect()}
+        # one row for each id, and of equal texts the smallest
+        known = [i for none, i in ids["near_duplicates"] if not none]
+        assert len(known) == len(set(known)) and 7 not in known and 11 not in known and set(known) <= {i for _, i in ids["quality"]}
+        assert ids["secrets"] == ids["near_duplicates"] and set(ids["mixing"]) <= set(ids["secrets"])
+        assert not {1, 2, 3} & {i for _, i in ids["mixing"]} and max(map(ids["mixing"].count, ids["mixing"])) <= 2
+        before = {r["doc_id"]: r for r in docs.collect()}
+        for r in out["mixing"].collect():  # every other column as it was
+            assert all(r[c] == before[r["doc_id"]][c] for c in docs.columns if c not in ("text", "n_chars"))
+        assert sorted(set(ids["packing"])) == sorted(set(ids["mixing"]))
+
+
+def test_without_labels_of_both_kinds(spark, edge, tmp_path):
+    for quality, n in ((1, edge.count()), (0, 0)):
+        base = f"{tmp_path}/{quality}"
+        spark.createDataFrame([(5, quality), (6, quality)], "doc_id bigint, quality int").write.parquet(f"{base}/labels.parquet")
+        assert corpus_pipeline.quality(spark, edge, base).count() == n
 
 
 def test_run(spark, small):
