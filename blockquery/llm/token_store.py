@@ -36,6 +36,8 @@ from .common import Scratch, default_vocabulary, documents, file_digest, mix, te
 
 END_ID = 2
 WINDOW, LEAST, MOST, MASK_BITS = 16, 128, 2048, 9
+#: Pieces of texts whose ids a worker remembers, in either alphabet (some 190 bytes each).
+KNOWN_PIECES = 700_000
 #: A range partition of recipes holds about so many documents.
 SHARD_DOCS = 50_000
 #: Documents whose leaves are hashed together.
@@ -130,7 +132,7 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = word_ids(vocabulary), set()
+        encode, seen = word_ids(vocabulary, KNOWN_PIECES), set()
         large = wide(vocabulary)
         gear = (mix(np.arange(1, max(encode.tokenizer.get_vocab_size(), end_id + 1) + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
         for batch, texts in text_slices(batches):
