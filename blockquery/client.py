@@ -32,6 +32,19 @@ WALK = 4
 MAX_TOP_K = 100_000
 
 
+#: Up to so many blocks, block table and zonemap are kept in the driver; and for so many collections.
+LOCAL_BLOCKS, MOST_OPENED = 10_000, 32
+
+
+@dataclass
+class _Opened:
+    metadata: Metadata
+    records: DataFrame | None = None
+
+
+_OPENED: dict[tuple[str, str, str], _Opened] = {}
+
+
 @dataclass
 class Found:
     """records, whether more follow the page, and how many match in all where that is known without another read."""
@@ -60,8 +73,9 @@ class Collection:
         self._load()
 
     def _load(self) -> None:
+        text = read_text(self.spark, f"{self.path}/manifest.json")
         try:
-            manifest = json.loads(read_text(self.spark, f"{self.path}/manifest.json"))
+            manifest = json.loads(text)
         except json.JSONDecodeError:
             raise EngineError("CORRUPT_DATA", "the manifest is no JSON") from None
         if manifest.get("format_version") != FORMAT_VERSION:
@@ -76,9 +90,24 @@ class Collection:
                 return self.spark.createDataFrame([], T.StructType.fromJson(columns[name]))
             return self.spark.read.schema(T.StructType.fromJson(columns[name])).parquet(f"{self.path}/meta/{folder.get(name, name)}") if name in columns else None
 
-        self._all: DataFrame | None = None
+        # tables and the list of files that an earlier client of the same manifest has opened
+        self._key = (self.spark.sparkContext.applicationId, self.path, text)
+        self._opened = _OPENED.get(self._key)
+        if self._opened is not None:
+            self.metadata = self._opened.metadata
+            return
         with self._errors():
             self.metadata = Metadata(table("blocks"), table("zonemap"), table("postings"), table("reversed"), table("trigrams"), table("empty_blocks"), {f.name: f.dataType.simpleString() for f in self._columns})
+            if manifest["blocks"] <= LOCAL_BLOCKS:
+                # a row for each block, and for each field of it: what the driver holds it looks up without a job
+                self.metadata.blocks = self._local(self.metadata.blocks)
+                self.metadata.zonemap = self._local(self.metadata.zonemap)
+        while len(_OPENED) >= MOST_OPENED:
+            del _OPENED[next(iter(_OPENED))]
+        self._opened = _OPENED[self._key] = _Opened(self.metadata)
+
+    def _local(self, table: DataFrame | None) -> DataFrame | None:
+        return table if table is None else self.spark.createDataFrame(table.collect(), table.schema)
 
     @contextmanager
     def _errors(self) -> Iterator[None]:
@@ -103,6 +132,7 @@ class Collection:
             if e.code != "DEPLOY_INTEGRITY":
                 raise
             self.spark.catalog.refreshByPath(self.path)
+            _OPENED.pop(self._key, None)
             self._load()
             with self._errors():
                 return run()
@@ -116,9 +146,9 @@ class Collection:
         if blocks is not None and not blocks:
             return self.spark.createDataFrame([], self._columns)
         if blocks is None or 2 * len(blocks) > self.manifest["blocks"]:
-            if self._all is None:  # its list of files is kept
-                self._all = reader.parquet(root)
-            return self._all if blocks is None else self._all.where(F.col(BLOCK).isin(*blocks))
+            if self._opened.records is None:  # its list of files is kept
+                self._opened.records = reader.parquet(root)
+            return self._opened.records if blocks is None else self._opened.records.where(F.col(BLOCK).isin(*blocks))
         df = reader.parquet(*(f"{root}/{BLOCK}={b}" for b in blocks))
         there = {int(m[1]) for m in (re.search(rf"/{BLOCK}=(\d+)/", f) for f in df.inputFiles()) if m}
         if there != set(blocks):

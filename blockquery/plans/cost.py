@@ -67,20 +67,28 @@ def estimate(records: DataFrame, schema: CollectionSchema, block_bytes: int) ->
     sized = records.select(record_bytes(records).alias("n"))
     n, total, p95, largest = sized.selectExpr("count(*)", "coalesce(sum(n), 0)", "coalesce(percentile_disc(0.95) WITHIN GROUP (ORDER BY n), 0)", "coalesce(max(n), 0)").first()
     blocks, fields, entries, bounded = block_count(int(total), block_bytes), {}, 0, 0
-    for name, f in schema.fields.items():
-        if not f.indexed or schema.is_sort(name) or name not in records.columns:
-            continue
+    own = [f for f in schema.fields.values() if f.indexed and not schema.is_sort(f.name) and f.name in records.columns]
+    if own:
+        # a scan for all fields: (field, value) pairs, and for contains indexes (field, gram)
+        array = lambda f: F.col(f"`{f.name}`") if f.multi else F.array(F.col(f"`{f.name}`").cast("string"))
+        pair = lambda f, kind, v: F.struct(F.lit(f.name).alias("field"), F.lit(kind).alias("kind"), v.alias("v"))
+        values = [F.transform(array(f), lambda v: pair(f, "value", v)) for f in own]  # noqa: B023
+        grams = [F.transform(F.flatten(F.transform(array(f), trigrams)), lambda v: pair(f, "gram", v)) for f in own if f.contains]  # noqa: B023
+        none = F.array().cast("array<struct<field:string,kind:string,v:string>>")
+        pairs = records.select(F.explode(F.concat(*(F.coalesce(x, none) for x in values + grams))).alias("p")).select("p.*").where("v IS NOT NULL")
+        per = pairs.groupBy("field", "kind", "v").agg(F.count("*").alias("k"))
+        sums = per.groupBy("field", "kind").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.sum(F.least("k", F.lit(blocks))).alias("postings"), F.avg(F.octet_length("v")).alias("mean"))
+        found = {(r["field"], r["kind"]): r for r in sums.collect()}  # two rows for each field
+    for f in own:
         bounded += 1
-        c = F.col(f"`{name}`")
-        values = records.select((F.explode(c) if f.multi else c).cast("string").alias("v")).where("v IS NOT NULL")
-        per = values.groupBy("v").agg(F.count("*").alias("k"))
-        card, postings, mean = per.agg(F.count("*"), F.coalesce(F.sum(F.least("k", F.lit(blocks))), F.lit(0)), F.coalesce(F.avg(F.octet_length("v")), F.lit(0.0))).first()
-        own = {"cardinality": card, "postings": postings, "index_bytes": round(index_bytes(card, mean, postings))}
+        r = found.get((f.name, "value"))
+        card, postings, mean = (r["n"], r["postings"], r["mean"]) if r else (0, 0, 0.0)
+        one = {"cardinality": card, "postings": postings, "index_bytes": round(index_bytes(card, mean, postings))}
         if f.ends_with:
-            own["reversed_bytes"] = own["index_bytes"]
+            one["reversed_bytes"] = one["index_bytes"]
         if f.contains:
-            grams = values.select(F.explode(trigrams(F.col("v"))).alias("g")).groupBy("g").count().agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-            own["trigram_bytes"] = 2 * min(grams[1], grams[0] * blocks)
-        own["equality_bytes"], own["equality_requests"] = equality_cost(n, card, blocks, block_bytes)
-        fields[name], entries = own, entries + postings
+            g = found.get((f.name, "gram"))
+            one["trigram_bytes"] = 2 * min(g["k"], g["n"] * blocks) if g else 0
+        one["equality_bytes"], one["equality_requests"] = equality_cost(n, card, blocks, block_bytes)
+        fields[f.name], entries = one, entries + postings
     return {"records": n, "bytes": int(total), "blocks": blocks, "p95_record_bytes": p95, "largest_record_bytes": largest, "recommended_block_bytes": recommended_block_bytes(p95), "range_blocks": range_blocks(blocks), "metadata_bytes": metadata_bytes(blocks, bounded, entries), "fields": fields}

@@ -65,6 +65,7 @@ def _schema(sort: str, pk: str | None, **fields: str) -> CollectionSchema:
 
 ORDERS = _schema("o_orderdate", "o_orderkey", o_orderkey="number:i", o_custkey="number:i", o_orderstatus="string:i", o_totalprice="number:i", o_orderdate="date", o_orderpriority="string:i")
 PARTS = _schema("p_retailprice", "p_partkey", p_partkey="number:i", p_name="string:iec", p_brand="string:i", p_type="string:i", p_size="number:i", p_retailprice="number")
+PARTS_BY_NAME = _schema("p_name", "p_partkey", p_partkey="number:i", p_name="string", p_brand="string:i", p_type="string:i", p_size="number:i", p_retailprice="number")
 CUSTOMERS = _schema("c_name", "c_custkey", c_custkey="number:i", c_name="string", c_nationkey="number", c_acctbal="number:i", c_mktsegment="string:i")
 EVENTS = _schema("ts", "event_id", event_id="number:i", ts="date", user_id="number:i", event_type="string:i", value="number", props="string")
 DOCUMENTS = _schema("n_chars", "doc_id", doc_id="number:i", text="string", lang="string:i", source="string:i", n_chars="number", quality="number:n", toxic="number:n")
@@ -90,6 +91,7 @@ SQL_NO_VIEW = f"(SELECT user_id, day, list_filter(types, lambda x: x <> 'view')
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], CollectionSchema, str, list[str]]] = {
     "orders": (lambda s, d: table(s, d, "orders"), ORDERS, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]),
     "part": (lambda s, d: table(s, d, "part"), PARTS, "part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]),
+    "part_by_name": (lambda s, d: table(s, d, "part"), PARTS_BY_NAME, "part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]),
     "customer": (lambda s, d: table(s, d, "customer"), CUSTOMERS, "customer", ["c_custkey", "c_name", "c_acctbal"]),
     "events": (lambda s, d: table(s, d, "events"), EVENTS, "events", ["event_id", "user_id", "event_type"]),
     "labelled": (labelled, DOCUMENTS, SQL_LABELLED, ["doc_id", "lang", "n_chars", "quality"]),
@@ -308,7 +310,7 @@ def collection(spark: SparkSession, sf_dir: str, name: str) -> Collection:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
         path = f"{work_dir(spark)}/{name}"
-        build(load(spark, sf_dir), schema, path, block_bytes=1 << 16 if name == "part" else 1 << 18)
+        build(load(spark, sf_dir), schema, path, block_bytes=1 << 16 if name.startswith("part") else 1 << 18)
         _BUILT[key] = path
     return connect(spark, _BUILT[key])
 
@@ -323,6 +325,7 @@ register_built("built_sort_range", "orders", {"o_orderdate": {"gte": "1997-01-01
 register_built("built_index_and_sort", "orders", {"o_orderdate": {"gt": "1998-06-01"}, "o_orderstatus": {"equals": "P"}, "o_custkey": {"gte": 100, "lte": 300}}, "o_orderdate > TIMESTAMP '1998-06-01' AND o_orderstatus = 'P' AND o_custkey BETWEEN 100 AND 300")
 register_built("built_top_k", "orders", {"o_orderpriority": {"in": ["1-URGENT", "2-HIGH"]}}, "o_orderpriority IN ('1-URGENT', '2-HIGH')", "ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", order_by={"o_totalprice": "desc"}, limit=20)
 register_built("built_starts_with", "part", {"p_name": {"startsWith": "red w"}}, "starts_with(p_name, 'red w')")
+register_built("built_sorted_prefix", "part_by_name", {"p_name": {"startsWith": "red w"}}, "starts_with(p_name, 'red w')")
 register_built("built_ends_with", "part", {"p_name": {"endsWith": " bolt"}}, "suffix(p_name, ' bolt')")
 register_built("built_contains", "part", {"p_name": {"contains": "ll wid"}}, "contains(p_name, 'll wid')")
 register_built("built_number_index", "part", {"p_size": {"equals": 3}, "p_retailprice": {"lt": 1000}}, "p_size = 3 AND p_retailprice < 1000")
