@@ -13,6 +13,7 @@ from .operators import indexes
 from .operators.blocks import BLOCK, block_aggregates, cut_blocks
 from .operators.derive import derive
 from .operators.drift import check_drift
+from .plans.where import KEYS
 from .schema import BLOCK_BYTES, COMPRESSIONS, FORMAT_VERSION, CollectionSchema, Config, validate
 from .sources.readers import read_records
 
@@ -72,8 +73,8 @@ def recover(spark: SparkSession, path: str) -> bool:
 def build(records: DataFrame, schema: CollectionSchema, path: str, block_bytes: int = BLOCK_BYTES, compression: str = "zstd", name: str = "records", checked: bool = True) -> dict:
     """Writes the collection of records (columns by field name; other columns are carried) and returns its manifest.
 
-    The input is read once: parsed and derived records are written beside the collection, and checks, sizes, cuts and the
-    sorted blocks come from there. Two scans of the blocks give all tables beside them.
+    Text is parsed once: parsed and derived records are written beside the collection, and checks, sizes, cuts and the sorted
+    blocks come from there. Two scans of the blocks give all tables beside them.
     """
     spark = records.sparkSession
     schema = validate(schema)
@@ -82,8 +83,10 @@ def build(records: DataFrame, schema: CollectionSchema, path: str, block_bytes:
     fs.delete(p, True)
     codec = COMPRESSIONS[compression]
     parsed = derive(records, schema)
-    parsed.write.option("compression", "lz4").parquet(f"{staged}/parsed")
-    parsed = spark.read.schema(parsed.schema).parquet(f"{staged}/parsed")
+    if KEYS in records.columns or any(f.derive_from is not None for f in schema.fields.values()):
+        # parsing text and deriving fields is done once; typed columns are as cheap to read again
+        parsed.write.option("compression", "lz4").parquet(f"{staged}/parsed")
+        parsed = spark.read.schema(parsed.schema).parquet(f"{staged}/parsed")
     if checked:
         check_drift(parsed, schema)
     derived = parsed.drop("_bad")

@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from .build import read_text
 from .errors import EngineError
 from .operators.blocks import BLOCK, HIDDEN, INTERNAL
+from .plans import planner
 from .plans.find import OrderBy, order_columns, order_keys, page
 from .operators.indexes import TEXT_TABLES
-from .plans.planner import Metadata, candidates, named
+from .plans.planner import Metadata, candidate_sets, candidates, named
 from .plans.where import KEYS, REST, assert_prunes, check, compact, predicate
 from .schema import FORMAT_VERSION, CollectionSchema
 
@@ -161,15 +162,23 @@ class Collection:
         return own
 
     def _match(self, where: dict[str, dict[str, Any]]) -> tuple[DataFrame, list[int] | None]:
-        found, blocks = candidates(where, self.schema, self.metadata), None
-        if found is not None:
-            blocks = named(found)
+        found, blocks = None, None
+        if self.manifest["blocks"] <= planner.LITERAL_BLOCKS:
+            blocks = self._candidates(where)
+        else:
+            found = candidates(where, self.schema, self.metadata)
+            blocks = None if found is None else named(found)
         records = self.stored(blocks)
         if found is not None and blocks is None:
             # block numbers: a few bytes for each block of the collection
             records = records.join(F.broadcast(found.distinct()), BLOCK, "left_semi")
         return records.where(predicate(where, KEYS in records.columns)), blocks
 
+    def _candidates(self, where: dict[str, dict[str, Any]]) -> list[int] | None:
+        """The candidate blocks of a collection of few blocks: sets from tables in the driver need no job, and meet here."""
+        sets = [{r[0] for r in found.select(BLOCK).collect()} for found in candidate_sets(where, self.schema, self.metadata)]
+        return sorted(set.intersection(*sets)) if sets else None
+
     def query(self, where: dict[str, Any] | None = None, order_by: OrderBy = None, limit: int | None = None, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
         """The records as a DataFrame, which nothing has read yet: no ceiling, for what comes next may narrow further."""
         own = self._checked(where)
@@ -237,7 +246,9 @@ class Collection:
         direction = self._walk(limit, keys)
         columns = order_columns(df, self.schema, keys)
         if direction is not None and self.manifest["blocks"] > WALK:
-            if blocks is None:
+            if blocks is None and self.manifest["blocks"] <= LOCAL_BLOCKS:
+                blocks = sorted(r[0] for r in self.metadata.blocks.select(BLOCK).collect())
+            elif blocks is None:
                 narrow = candidates(where, self.schema, self.metadata)
                 blocks = sorted(r[0] for r in (self.metadata.blocks if narrow is None else narrow).select(BLOCK).collect())  # a number for each block
             if offset:
@@ -298,6 +309,11 @@ class Collection:
             return Count(self._fresh(lambda: self._match(own)[0].count()), True)
 
         def bound() -> int:
+            if self.manifest["blocks"] <= LOCAL_BLOCKS:
+                held = self._candidates(own)
+                held = None if held is None else set(held)
+                rows = self.metadata.blocks.select(BLOCK, "count").collect()
+                return sum(r["count"] for r in rows) if held is None else sum(r["count"] for r in rows if r[BLOCK] in held)
             found = candidates(own, self.schema, self.metadata)
             blocks = self.metadata.blocks
             return (blocks if found is None else blocks.join(found.distinct(), BLOCK, "left_semi")).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
