@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..plans.where import KEYS, REST
 from ..schema import CollectionSchema
 
@@ -16,6 +19,16 @@ INTERNAL = (BLOCK, KEYS, "_bad", "_line")
 HIDDEN = (*INTERNAL, REST)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where unset, under the working directory, in local mode only."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise EngineError("CONFIG", "set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.abspath("spark-warehouse/checkpoints")
+    return f"{base.rstrip('/')}/bq-{uuid.uuid4().hex[:12]}"
+
+
 def record_bytes(df: DataFrame) -> Column:
     """Bytes of a record as a line of JSON."""
     return F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in INTERNAL)))) + 1
@@ -69,6 +82,22 @@ def exact_cut(df: DataFrame, by: str, weight: Column, target: int, path: str) ->
     return joined.withColumn(BLOCK, ((F.col("_base") + F.col("_before")) / target).cast("int")).drop("_weight", "_part", "_base", "_before")
 
 
+def places(df: DataFrame, order: list[Column], path: str) -> tuple[DataFrame, int]:
+    """df with `_place`, from 0, in this order, and how many records there are. Range partitions are written and counted as in exact_cut."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(path)
+    parts = spark.read.schema(ranged.schema).parquet(path)
+    offsets, n = [], 0
+    for r in parts.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        offsets.append((r["_part"], n))
+        n += r["n"]
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    # a row for each range partition
+    joined = parts.withColumn("_place", inside).join(F.broadcast(spark.createDataFrame(offsets, "_part int, _base bigint")), "_part")
+    return joined.withColumn("_place", F.col("_base") + F.col("_place")).drop("_part", "_base"), n
+
+
 def greedy_cut(records: Iterable[tuple[object, int]], target: int) -> list[int]:
     """Block numbers of sorted (key, bytes) by closing a block once it would pass the target at a new key: exact, for small data and tests."""
     out, block, size, last = [], 0, 0, object()

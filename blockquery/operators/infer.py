@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CollectionSchema, Field, validate
+from .blocks import places, work_dir
 from .sampling import sample
 
 MOST_VALUES = 16
@@ -249,8 +251,26 @@ def estimated_share(rows: list[dict], records: int, sort_field: str, name: str,
     return min(1.0, float(total) / distinct / blocks)
 
 
+def exact_shares(df: DataFrame, sort_field: str, fields: list[str], blocks: int, path: str) -> dict[str, float]:
+    """What estimated_share counts of the whole data, where these lie: only two sums of each field reach the driver. Equal sort values lie in the order of the fields."""
+    order = list(dict.fromkeys([sort_field, *fields]))
+    _bins(df.select(*(F.col(f"`{c}`") for c in order)), [F.col(f"`{c}`").asc_nulls_last() for c in order], blocks, path).write.parquet(f"{path}/bins")
+    binned, out = df.sparkSession.read.parquet(f"{path}/bins"), {}
+    for name in fields:
+        c = F.col(f"`{name}`")
+        pairs = binned.select((F.explode(c) if isinstance(df.schema[name].dataType, T.ArrayType) else c).alias("v"), "bin").where("v IS NOT NULL").distinct()
+        # of each value its bins, then one row
+        row = pairs.groupBy("v").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("values")).first()
+        if row["values"]:
+            out[name] = row["n"] / row["values"] / blocks
+    return out
+
+
 def block_share(df: DataFrame, sort_field: str, fields: list[str], blocks: int, rows: int = SAMPLE, distinct: dict[str, int] | None = None) -> dict[str, float]:
-    """estimated_share of each field that has values, from one sample."""
+    """The share of each field that has values: by estimated_share from one sample, by exact_shares where all records are asked for and are more than a sample."""
+    own = [c for c in dict.fromkeys(fields) if c in df.columns]
+    if rows > SAMPLE and SAMPLE < df.count() <= rows:
+        return exact_shares(df, sort_field, own, blocks, work_dir(df.sparkSession))
     drawn, records = share_sample(df, list(dict.fromkeys([sort_field, *fields])), rows)
     found = {name: estimated_share(drawn, records, sort_field, name, blocks, (distinct or {}).get(name, 0)) for name in fields}
     return {name: share for name, share in found.items() if share is not None}
@@ -262,10 +282,14 @@ def scatter(df: DataFrame, sort_field: str, fields: list[str], blocks: int, rows
     return blocks * sum(shares.values()) / max(1, len(shares))
 
 
+def _bins(df: DataFrame, order: list[Column], bins: int, path: str) -> DataFrame:
+    placed, n = places(df, order, f"{path}/places")
+    return placed.withColumn("bin", F.expr(f"_place * {bins} div {max(n, 1)}")).drop("_place")
+
+
 def sample_bins(df: DataFrame, by: str, bins: int) -> DataFrame:
-    """The records of a sample with `bin` = floor(place * bins / records) in the order of a field: for what fits a task."""
-    place = F.row_number().over(Window.orderBy(F.col(f"`{by}`").asc_nulls_last(), *(F.col(f"`{c}`") for c in df.columns if c != by))) - 1
-    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n")))).withColumn("bin", F.floor(place * bins / F.col("_n"))).drop("_n")  # one row
+    """Records with `bin` = floor(place * bins / records) in the order of a field, then of the others."""
+    return _bins(df, [F.col(f"`{by}`").asc_nulls_last(), *(F.col(f"`{c}`") for c in df.columns if c != by)], bins, work_dir(df.sparkSession))
 
 
 def recommend_sort_for(df: DataFrame, stats: dict[str, Stats], filters: list[str], blocks: int = 32) -> str | None:

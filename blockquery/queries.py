@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -12,10 +10,9 @@ from pyspark.sql import functions as F
 
 from .build import build
 from .client import Collection, connect, merge_by_pk
-from .errors import EngineError
 from .functions.normalize import fold, lowercase, numeric, trim
 from .operators import indexes, infer
-from .operators.blocks import BLOCK, block_table, exact_cut
+from .operators.blocks import BLOCK, block_table, exact_cut, work_dir
 from .operators.drift import drift_report
 from .operators.lints import LONG_RUN, skewed_blocks
 from .plans.find import find
@@ -41,16 +38,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where unset, under the working directory, in local mode only."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise EngineError("CONFIG", "set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + os.path.abspath("spark-warehouse/checkpoints")
-    return f"{base.rstrip('/')}/bq-{uuid.uuid4().hex[:12]}"
-
-
 # --- collections over the driver's tables --------------------------------------------------------
 
 
