@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .errors import EngineError
 from .operators import indexes
-from .operators.blocks import BLOCK, block_aggregates, cut_blocks
+from .operators.blocks import BLOCK, block_aggregates, cut_blocks, listing
 from .operators.derive import derive
 from .operators.drift import check_drift
 from .plans.where import KEYS
@@ -92,7 +92,8 @@ def build(records: DataFrame, schema: CollectionSchema, path: str, block_bytes:
     derived = parsed.drop("_bad")
     cut_blocks(derived, schema, block_bytes).write.option("compression", codec).partitionBy(BLOCK).parquet(f"{staged}/blocks")
     fs.delete(_fs(spark, f"{staged}/parsed")[1], True)
-    stored = spark.read.schema(T.StructType([*derived.schema, T.StructField(BLOCK, T.IntegerType())])).parquet(f"{staged}/blocks")
+    with listing(spark):
+        stored = spark.read.schema(T.StructType([*derived.schema, T.StructField(BLOCK, T.IntegerType())])).parquet(f"{staged}/blocks")
     fields, written = indexes.indexed(schema), {}
 
     def write(df: DataFrame | None, table: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .build import read_text
 from .errors import EngineError
-from .operators.blocks import BLOCK, HIDDEN, INTERNAL
+from .operators.blocks import BLOCK, HIDDEN, INTERNAL, listing
 from .plans import planner
 from .plans.find import OrderBy, order_columns, order_keys, page
 from .operators.indexes import TEXT_TABLES
@@ -148,9 +148,11 @@ class Collection:
             return self.spark.createDataFrame([], self._columns)
         if blocks is None or 2 * len(blocks) > self.manifest["blocks"]:
             if self._opened.records is None:  # its list of files is kept
-                self._opened.records = reader.parquet(root)
+                with listing(self.spark):
+                    self._opened.records = reader.parquet(root)
             return self._opened.records if blocks is None else self._opened.records.where(F.col(BLOCK).isin(*blocks))
-        df = reader.parquet(*(f"{root}/{BLOCK}={b}" for b in blocks))
+        with listing(self.spark):
+            df = reader.parquet(*(f"{root}/{BLOCK}={b}" for b in blocks))
         there = {int(m[1]) for m in (re.search(rf"/{BLOCK}=(\d+)/", f) for f in df.inputFiles()) if m}
         if there != set(blocks):
             raise EngineError("DEPLOY_INTEGRITY", f"{len(set(blocks) - there)} blocks have no file")

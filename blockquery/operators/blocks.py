@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ BLOCK = "_block"
 #: Names that the engine adds to records; REST is part of a record all the same.
 INTERNAL = (BLOCK, KEYS, "_bad", "_line")
 HIDDEN = (*INTERNAL, REST)
+#: Tasks that list folders of blocks.
+LISTERS = 64
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -29,6 +32,18 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/bq-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def listing(spark: SparkSession):
+    """Folders of blocks are listed by a few tasks; Spark's own default is one for each folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), LISTERS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def record_bytes(df: DataFrame) -> Column:
     """Bytes of a record as a line of JSON."""
     return F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in INTERNAL)))) + 1
@@ -44,21 +59,40 @@ def stored_order(df: DataFrame, schema: CollectionSchema) -> list[Column]:
     return order
 
 
+#: Up to so many blocks each is a range partition, and a task, of its own; of more, a partition of RANGE_BYTES holds several.
+RANGES, RANGE_BYTES = 200, 64 << 20
+
+
 def cut_blocks(df: DataFrame, schema: CollectionSchema, block_bytes: int) -> DataFrame:
     """Records with their block, sorted inside it.
 
     One range exchange does it all: as many range partitions as the bytes fill blocks, and each partition is a block.
     Equal sort values share a partition, so no run is split and blocks do not overlap. Sizes are near the target as far as
-    the exchange's sample goes; a value with more records than a block holds makes a large one.
+    the exchange's sample goes; a value with more records than a block holds makes a large one. Small blocks of a large
+    collection would make the exchange's pieces, its sample and the tasks too many: then partitions are larger, and cut
+    into blocks by places inside them, at the first record of a run. Block numbers have gaps between partitions.
     """
-    total = df.agg(F.sum(record_bytes(df))).first()[0] or 0
+    total, records = df.agg(F.coalesce(F.sum(record_bytes(df)), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(total) // block_bytes))
+    ranges = min(blocks, max(RANGES, -(-int(total) // RANGE_BYTES)))
     order = stored_order(df, schema)
     # the exchange sees the sort value and the missing marks only: ties must not be split
     by = order[: 2 if KEYS in df.columns else 1]
     line = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if c not in INTERNAL))
-    ranged = df.repartitionByRange(blocks, *by).withColumn(BLOCK, F.spark_partition_id())
-    return ranged.sortWithinPartitions(BLOCK, *order, line)
+    if ranges == blocks:
+        ranged = df.repartitionByRange(blocks, *by).withColumn(BLOCK, F.spark_partition_id())
+        return ranged.sortWithinPartitions(BLOCK, *order, line)
+    # as columns, so that exchange, sort and window agree on what a run is and no row moves twice
+    s = F.col(f"`{schema.sort_field}`")
+    run = {"_none": s.isNull()} | ({"_absent": ~F.array_contains(F.col(KEYS), schema.sort_field)} if KEYS in df.columns else {})
+    keys = [*map(F.col, run), s]
+    placed = df.withColumns(run).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    # a row's number in its partition, below the 33 bits that hold it
+    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    first = F.min("_row").over(Window.partitionBy(*keys))
+    most = min(blocks + 1, ((1 << 31) - 1) // ranges)
+    inside = F.least(F.floor(first * blocks / max(1, records)), F.lit(most - 1))
+    return placed.withColumn(BLOCK, (F.col("_part") * most + inside).cast("int")).drop(*run, "_part", "_row").sortWithinPartitions(BLOCK, *order, line)
 
 
 def exact_cut(df: DataFrame, by: str, weight: Column, target: int, path: str) -> DataFrame:
