@@ -190,10 +190,11 @@ def rebuild_is_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A client opened before a rebuild finds its files gone, loads the new manifest and asks again; nothing of the old tree is left."""
     path, df = f"{work_dir(spark)}/swap", table(spark, sf_dir, "customer")
     build(df.where("c_mktsegment = 'BUILDING'"), CUSTOMERS, path, block_bytes=1 << 14)
-    old = connect(spark, path, max_results=10**6)
-    before = len(old.find_many({"c_name": {"gte": ""}}).records)
+    old = connect(spark, path)
+    # both counts read the records, where they lie
+    before = old.count({"c_name": {"gte": ""}}, exact=True).count
     build(df, CUSTOMERS, path, block_bytes=1 << 14)
-    after = len(old.find_many({"c_name": {"gte": ""}}).records)
+    after = old.count({"c_name": {"gte": ""}}, exact=True).count
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     left = sum(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + tail)) for tail in ("__old", "__staged"))
     return spark.createDataFrame([(before, after, left)], "before bigint, after_ bigint, left_over int")
